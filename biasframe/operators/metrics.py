@@ -136,3 +136,105 @@ def overall_auc(df: DataFrame, score: Column | str, label: Column | str,
                 parts: int | None = None) -> DataFrame:
     """K6: one row ``overall_auc``."""
     return auc(df, score, label, name="overall_auc", parts=parts)
+
+
+# ------------------------------------------------------------ quality metrics
+def accuracy(df: DataFrame, pred: Column | str, label: Column | str, name: str = "accuracy") -> DataFrame:
+    """Share of rows whose prediction equals the label; for array
+    columns (label matrices) the whole array must match."""
+    return df.agg(F.avg((_c(pred) == _c(label)).cast("double")).alias(name))
+
+
+def confusion(df: DataFrame, pred: Column | str, label: Column | str) -> DataFrame:
+    """TP, TN, FP, FN of boolean prediction / label (NULL as false)."""
+    p = F.coalesce(_c(pred).cast("boolean"), F.lit(False))
+    y = F.coalesce(_c(label).cast("boolean"), F.lit(False))
+    return df.agg(F.count_if(p & y).alias("tp"), F.count_if(~p & ~y).alias("tn"),
+                  F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"))
+
+
+def _f1(tp: Column, fp: Column, fn: Column) -> Column:
+    """F1 = 2TP / (2TP + FP + FN); 0 when undefined (sklearn's zero_division)."""
+    den = 2 * tp + fp + fn
+    return F.when(den != 0, 2 * tp / den).otherwise(F.lit(0.0))
+
+
+def precision_recall_f1(df: DataFrame, pred: Column | str, label: Column | str) -> DataFrame:
+    """Precision, recall and F1 of the positive class (0 when undefined)."""
+    c = confusion(df, pred, label)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return c.select(F.when(tp + fp != 0, tp / (tp + fp)).otherwise(F.lit(0.0)).alias("precision"),
+                    F.when(tp + fn != 0, tp / (tp + fn)).otherwise(F.lit(0.0)).alias("recall"),
+                    _f1(tp, fp, fn).alias("f1"))
+
+
+def f1_weighted(df: DataFrame, pred: Column | str, label: Column | str) -> DataFrame:
+    """K11 (single label, any classes): per-class F1 weighted by the class
+    support. Classes are grouped, one pass plus a tiny second aggregate."""
+    y, p = _c(label), _c(pred)
+    # each row counts once for its true class and once for its predicted class
+    ev = df.select(F.explode(F.array(
+        F.struct(y.cast("string").alias("cls"), F.lit(1).alias("is_true"), (y == p).cast("int").alias("hit")),
+        F.struct(p.cast("string").alias("cls"), F.lit(0).alias("is_true"), (y == p).cast("int").alias("hit")))).alias("e"))
+    per = ev.groupBy("e.cls").agg(
+        F.sum("e.is_true").alias("support"),
+        F.sum(F.when(F.col("e.is_true") == 1, F.col("e.hit"))).alias("tp"),
+        F.sum(F.when(F.col("e.is_true") == 0, 1 - F.col("e.hit"))).alias("fp"))
+    per = per.na.fill(0, ["tp", "fp"]).withColumn("fn", F.col("support") - F.col("tp"))
+    f1 = _f1(F.col("tp"), F.col("fp"), F.col("fn"))
+    return per.agg((F.sum(f1 * F.col("support")) / F.sum("support")).alias("f1_weighted"))
+
+
+def f1_weighted_multilabel(df: DataFrame, preds: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """K11 (label matrix): binary F1 per label, weighted by each label's
+    number of positives. One aggregation over all labels."""
+    aggs = []
+    for p, y in zip(preds, labels):
+        pc, yc = F.col(p).cast("boolean"), F.col(y).cast("boolean")
+        aggs += [F.count_if(pc & yc).alias(f"{y}|tp"), F.count_if(pc & ~yc).alias(f"{y}|fp"),
+                 F.count_if(~pc & yc).alias(f"{y}|fn")]
+    wide = df.agg(*aggs)
+    num = sum(_f1(F.col(f"`{y}|tp`"), F.col(f"`{y}|fp`"), F.col(f"`{y}|fn`")) * (F.col(f"`{y}|tp`") + F.col(f"`{y}|fn`"))
+              for y in labels)
+    den = sum(F.col(f"`{y}|tp`") + F.col(f"`{y}|fn`") for y in labels)
+    return wide.select(F.when(den != 0, num / den).otherwise(F.lit(0.0)).alias("f1_weighted"))
+
+
+def training_weight(label: Column | str, identities: Sequence[str], threshold: float = 0.5,
+                    background: str = "any") -> Column:
+    """1/4 + 1/4 [subgroup] + 1/4 [BPSN] + 1/4 [BNSP] per row.
+
+    ``background='any'`` is the reference's literal test ("some identity is
+    below the threshold"); ``'none'`` uses "no identity at or above it"."""
+    from biasframe.functions.labels import no_nan
+    vals = [F.coalesce(no_nan(c), F.lit(0.0)) for c in identities]
+    any_in = F.greatest(*[(v >= threshold).cast("int") for v in vals]) == 1
+    any_out = F.greatest(*[(v < threshold).cast("int") for v in vals]) == 1
+    y = F.coalesce(no_nan(label) >= threshold, F.lit(False))
+    bg = any_out if background == "any" else ~any_in
+    ind = lambda b: F.when(b, F.lit(0.25)).otherwise(F.lit(0.0))
+    return F.lit(0.25) + ind(any_in) + ind(y & bg) + ind(~y & any_in)
+
+
+def loss_weight(df: DataFrame, weight: str = "weight") -> DataFrame:
+    """``1 / mean(weight)`` as a one-row DataFrame."""
+    return df.agg((F.lit(1.0) / F.avg(weight)).alias("loss_weight"))
+
+
+def bce(y: Column | str, p: Column | str, eps: float = 1e-7) -> Column:
+    """Per-row binary cross-entropy with the prediction clipped to [eps, 1-eps]."""
+    pc = F.least(F.greatest(_c(p).cast("double"), F.lit(eps)), F.lit(1.0 - eps))
+    yc = _c(y).cast("double")
+    return -(yc * F.log(pc) + (F.lit(1.0) - yc) * F.log(F.lit(1.0) - pc))
+
+
+def losses(df: DataFrame, y: Column | str, p: Column | str, w: Column | str,
+           aux: Sequence[tuple[str, str]] = (), digits: int = 9) -> DataFrame:
+    """Mean BCE, weighted BCE (mean of w * bce) and the two-part loss
+    ``mean(w*bce) * loss_weight + mean(mean_k bce(aux_k))`` (standard
+    orientation: truth first, prediction second)."""
+    lw = F.lit(1.0) / F.avg(_c(w))
+    aux_term = (sum(bce(a, q) for a, q in aux) / len(aux)) if aux else F.lit(0.0)
+    return df.agg(F.round(F.avg(bce(y, p)), digits).alias("bce"),
+                  F.round(F.avg(_c(w) * bce(y, p)), digits).alias("weighted_bce"),
+                  F.round(F.avg(_c(w) * bce(y, p)) * lw + F.avg(aux_term), digits).alias("two_part_loss"))

@@ -50,8 +50,8 @@ def auc_by_article(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------- oracle SQL
-def _flag_sql() -> list[tuple[str, str]]:
-    out = [(f"lang_{lang}", f"(lang = '{lang}')") for lang in LANGS]
+def _flag_sql(with_langs: bool = True) -> list[tuple[str, str]]:
+    out = [(f"lang_{lang}", f"(lang = '{lang}')") for lang in LANGS] if with_langs else []
     out += [(c, f"coalesce({c} >= 0.5e0, false)") for c in SCORED_IDENTITIES]
     return out
 
@@ -60,8 +60,8 @@ def _auc_sql(num2: str, p: str, n: str) -> str:
     return f"CASE WHEN {p} * {n} = 0 THEN NULL ELSE ({num2}) / (2.0e0 * {p} * {n}) END"
 
 
-def bias_table_sql() -> str:
-    flags = _flag_sql()
+def bias_table_sql(with_langs: bool = True) -> str:
+    flags = _flag_sql(with_langs)
     base = ("base AS (SELECT score AS x, coalesce(target >= 0.5e0, false) AS y, "
             + ", ".join(f"{e} AS f_{n}" for n, e in flags)
             + " FROM comments WHERE target IS NOT NULL)")
@@ -99,8 +99,8 @@ c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECED
 SELECT {_auc_sql('sum(pos * (2 * nb + neg))', 'sum(pos)', 'sum(neg)')} AS overall_auc FROM c""")
 
 
-def final_score_sql() -> str:
-    inner_bias = bias_table_sql()
+def final_score_sql(with_langs: bool = True) -> str:
+    inner_bias = bias_table_sql(with_langs)
     inner_overall = overall_sql()
 
     def pm(c: str) -> str:
