@@ -67,12 +67,8 @@ def auc(df: DataFrame, score: Column | str, label: Column | str, by: Sequence[st
     return out
 
 
-def bias_metrics(df: DataFrame, subgroups: Mapping[str, Column | str], label: Column | str,
-                 score: Column | str, parts: int | None = None) -> DataFrame:
-    """K2-K5: one row per subgroup with ``subgroup_size`` and the three AUCs.
-
-    ``subgroups`` maps a subgroup name to a boolean column (NULL = false)."""
-    names = list(subgroups)
+def _bias_parts(df: DataFrame, subgroups: Mapping[str, Column | str], label: Column | str,
+                score: Column | str, parts: int | None):
     member = F.array(F.lit(ALL), *[F.when(F.coalesce(_c(c).cast("boolean"), F.lit(False)), F.lit(n))
                                    for n, c in subgroups.items()])
     y = F.coalesce(_c(label).cast("boolean"), F.lit(False))
@@ -86,6 +82,17 @@ def bias_metrics(df: DataFrame, subgroups: Mapping[str, Column | str], label: Co
         "x", F.col("pos").alias("pa"), F.col("neg").alias("na"),
         F.col("pos_below").alias("pab"), F.col("neg_below").alias("nab"))
     sub = cum.where(F.col("g") != ALL)
+    return glob, sub
+
+
+def bias_report(df: DataFrame, subgroups: Mapping[str, Column | str], label: Column | str,
+                score: Column | str, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """K2-K6 from one histogram: (bias table, one-row ``overall_auc``).
+
+    The bias table has one row per subgroup with ``subgroup_size`` and the
+    three AUCs; ``subgroups`` maps a name to a boolean column (NULL = false)."""
+    names = list(subgroups)
+    glob, sub = _bias_parts(df, subgroups, label, score, parts)
     j = sub.join(glob, "x")
     pos, neg = F.col("pos"), F.col("neg")
     per_group = j.groupBy("g").agg(
@@ -95,7 +102,8 @@ def bias_metrics(df: DataFrame, subgroups: Mapping[str, Column | str], label: Co
         F.sum(neg * (2 * (F.col("pab") - F.col("pos_below")) + (F.col("pa") - pos))).alias("s_bpsn_low"),
         # subgroup positives x background negatives below / tied
         F.sum(pos * (2 * (F.col("nab") - F.col("neg_below")) + (F.col("na") - neg))).alias("s_bnsp"))
-    totals = glob.agg(F.sum("pa").alias("pa_tot"), F.sum("na").alias("na_tot"))
+    totals = glob.agg(F.sum("pa").alias("pa_tot"), F.sum("na").alias("na_tot"),
+                      F.sum(F.col("pa") * (2 * F.col("nab") + F.col("na"))).alias("s_all"))
     spark = df.sparkSession
     # one row per requested subgroup (a bounded list), so empty subgroups stay
     wanted = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "g string, _ord int")
@@ -103,11 +111,19 @@ def bias_metrics(df: DataFrame, subgroups: Mapping[str, Column | str], label: Co
     t = attach_row(t, totals)
     ps, ns, pa, na = F.col("ps"), F.col("ns"), F.col("pa_tot"), F.col("na_tot")
     bpsn_num2 = 2 * (pa - ps) * ns - F.col("s_bpsn_low")
-    return t.select(
+    table = t.select(
         F.col("g").alias("subgroup"), (ps + ns).alias("subgroup_size"),
         _ratio(F.col("s_sub"), 2 * ps * ns).alias(SUBGROUP_AUC),
         _ratio(bpsn_num2, 2 * (pa - ps) * ns).alias(BPSN_AUC),
         _ratio(F.col("s_bnsp"), 2 * ps * (na - ns)).alias(BNSP_AUC))
+    overall = totals.select(_ratio(F.col("s_all"), 2 * F.col("pa_tot") * F.col("na_tot")).alias("overall_auc"))
+    return table, overall
+
+
+def bias_metrics(df: DataFrame, subgroups: Mapping[str, Column | str], label: Column | str,
+                 score: Column | str, parts: int | None = None) -> DataFrame:
+    """K2-K5: the bias table of ``bias_report``."""
+    return bias_report(df, subgroups, label, score, parts)[0]
 
 
 def power_mean(col: str, p: float = POWER) -> Column:

@@ -21,6 +21,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from biasframe.session import checkpoint_dir
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Used where one intermediate feeds several branches of a plan: without it
+    each branch would recompute the whole upstream plan (Catalyst prunes the
+    branches differently, so their exchanges are not reused). It also freezes
+    values computed from partition ids, so a retried task sees the same ones."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
 def _parts(df: DataFrame, parts: int | None) -> int:
     if parts:
@@ -39,8 +52,8 @@ def running_sums_below(df: DataFrame, group_cols: Sequence[str], order_col: str,
     per-task work at ``rows / parts`` whatever the group sizes are."""
     n = _parts(df, parts)
     g = list(group_cols)
-    ranged = (df.repartitionByRange(n, F.col(order_col))
-                .withColumn("_slice", F.spark_partition_id()))
+    ranged = materialize(df.repartitionByRange(n, F.col(order_col))
+                           .withColumn("_slice", F.spark_partition_id()))
     inner = Window.partitionBy(*g, "_slice").orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, -1)
     local = ranged.select("*", *[F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"_in_{v}")
@@ -63,9 +76,9 @@ def dense_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_i
     ``total_name`` = number of rows. Work per task is rows / parts."""
     n = _parts(df, parts)
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-                .withColumn("_slice", F.spark_partition_id())
-                .withColumn("_mono", F.monotonically_increasing_id()))
+    ranged = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                           .withColumn("_slice", F.spark_partition_id())
+                           .withColumn("_mono", F.monotonically_increasing_id()))
     counts = ranged.groupBy("_slice").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per range slice (bounded by ``parts``)
     w = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,7 +94,18 @@ def dense_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_i
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row DataFrame (a global aggregate) to
-    every row, as a broadcast equi-join on a constant key."""
-    return (df.withColumn("_one", F.lit(1))
-              .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one")
-              .drop("_one"))
+    every row as a scalar subquery: computed once, inlined as a value."""
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*cols).alias("_t")).scalar()
+    return df.withColumn("_t", packed).select(*df.columns, *[F.col("_t")[c].alias(c) for c in cols])
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by ``key`` only when the scan yields fewer partitions
+    than the cluster has cores (e.g. a file with a single row group); large
+    inputs already come in many splits and are left alone."""
+    sc = df.sparkSession.sparkContext
+    n = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n, F.col(key))
+    return df

@@ -40,7 +40,9 @@ def overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.final_metric(bias_table(spark, sf_dir), overall(spark, sf_dir))
+    table, overall_df = M.bias_report(labelled(spark, sf_dir), subgroup_flags(),
+                                      at_least("target", LABEL_THRESHOLD), "score")
+    return M.final_metric(table, overall_df)
 
 
 def auc_by_article(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,8 +91,8 @@ def identity_report(spark, sf_dir):
     """K9: per-identity AUCs (the nine scored identities) + the final score."""
     df = labelled(spark, sf_dir)
     flags = {c: at_least(c, 0.5) for c in SCORED_IDENTITIES}
-    bias = M.bias_metrics(df, flags, _y(), "score")
-    final = M.final_metric(bias, M.overall_auc(df, "score", _y()))
+    bias, overall = M.bias_report(df, flags, _y(), "score")
+    final = M.final_metric(bias, overall)
     return attach_row(bias, final.select("final_metric"))
 
 

@@ -12,7 +12,7 @@ from biasframe.operators import normalize as N
 from biasframe.operators import partition as P
 from biasframe.operators import sample as H
 from biasframe.operators import vocab as V
-from biasframe.operators.ordering import attach_row
+from biasframe.operators.ordering import attach_row, spread
 from biasframe.schema import SCORED_IDENTITIES, SUBTYPE_COLUMNS
 from biasframe.sources.comments import comments, with_comments
 from biasframe.sources.tables import table
@@ -26,7 +26,8 @@ MODEL_LEN = 128
 # ----------------------------------------------------------------- corpora
 def doc_corpus(spark, sf_dir):
     """train (labelled) + test (unlabelled) documents, cleaned."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), X.clean("text").alias("text"))
+    d = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    d = d.select("id", X.clean("text").alias("text"))
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     return V.corpus([d.join(lab, "id", "left_semi"), d.join(lab, "id", "left_anti")])
 
@@ -37,7 +38,7 @@ def doc_vocab(spark, sf_dir):
 
 def conv_docs(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return spread(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id")
 
 
 def conv_vocab(spark, sf_dir):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biasframe.schema import IDENTITY_COLUMNS, REACTION_COLUMNS, SUBTYPE_COLUMNS
+from biasframe.operators.ordering import spread
 from biasframe.sources.tables import table
 
 # --- fixed values of the stand-in (FIXTURES.md §2) ---------------------------
@@ -30,7 +31,7 @@ def _identity(n: Column, k: int) -> Column:
 
 
 def comments_frame(documents: DataFrame, labels: DataFrame, events: DataFrame) -> DataFrame:
-    d = documents.select("doc_id", "text", "lang", "source")
+    d = spread(documents.select("doc_id", "text", "lang", "source"), "doc_id")
     lab = labels.select(F.col("doc_id").alias("_l_doc"), "toxic")
     ev = events.select(F.col("event_id").alias("_e_id"), "ts")
     j = (d.join(lab, d.doc_id == lab._l_doc, "left")
