@@ -32,7 +32,9 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bias_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = labelled(spark, sf_dir)
-    return M.bias_metrics(df, subgroup_flags(), at_least("target", LABEL_THRESHOLD), "score")
+    table = M.bias_metrics(df, subgroup_flags(), at_least("target", LABEL_THRESHOLD), "score")
+    # I16: ascending by subgroup AUC, missing last (a 13-row result)
+    return table.orderBy(F.asc_nulls_last("subgroup_auc"), "subgroup")
 
 
 def overall(spark: SparkSession, sf_dir: str) -> DataFrame:

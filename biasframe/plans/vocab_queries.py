@@ -59,16 +59,17 @@ def _conv_corpus_sql() -> str:
     return "docs AS (SELECT 0 AS part, conv_id * 1000 + turn AS doc, text FROM conversations)"
 
 
-def _vocab_sql(filters: str) -> str:
-    """CTEs tok(part, doc, pos, word) and vocab(word, word_count, word_index) over docs."""
+def _vocab_sql(filters: str, sfx: str = "") -> str:
+    """CTEs tok(part, doc, pos, word) and vocab(word, word_count, word_index)
+    over docs (every name carries the suffix ``sfx``)."""
     return f"""
-tk AS (SELECT part, doc, {_tokens_sql('text', filters)} AS toks FROM docs),
-tok AS (SELECT part, doc, unnest(toks) AS word, unnest(generate_series(0, len(toks) - 1)) AS pos FROM tk),
-fst AS (SELECT word, part, doc, pos, row_number() OVER (PARTITION BY word ORDER BY part, doc, pos) AS rn FROM tok),
-cnt AS (SELECT word, count(*) AS word_count FROM tok GROUP BY word),
-vocab AS (SELECT c.word, c.word_count,
+tk{sfx} AS (SELECT part, doc, {_tokens_sql('text', filters)} AS toks FROM docs{sfx}),
+tok{sfx} AS (SELECT part, doc, unnest(toks) AS word, unnest(generate_series(0, len(toks) - 1)) AS pos FROM tk{sfx}),
+fst{sfx} AS (SELECT word, part, doc, pos, row_number() OVER (PARTITION BY word ORDER BY part, doc, pos) AS rn FROM tok{sfx}),
+cnt{sfx} AS (SELECT word, count(*) AS word_count FROM tok{sfx} GROUP BY word),
+vocab{sfx} AS (SELECT c.word, c.word_count,
                  row_number() OVER (ORDER BY c.word_count DESC, f.part, f.doc, f.pos) AS word_index
-          FROM cnt c JOIN fst f ON f.word = c.word AND f.rn = 1)"""
+          FROM cnt{sfx} c JOIN fst{sfx} f ON f.word = c.word AND f.rn = 1)"""
 
 
 # ----------------------------------------------------------------- F queries
@@ -302,7 +303,47 @@ def identity_tagged_sql():
     return with_comments(f"SELECT id, [CAST(id AS VARCHAR) || '_' || {parts}] AS tags FROM comments")
 
 
+def two_spaces(spark, sf_dir):
+    """Per word, the vector of one space followed by the other's. Space A
+    maps the document vocabulary by rank, space B the conversation vocabulary."""
+    a = _vectors(spark, sf_dir, doc_vocab(spark, sf_dir))
+    b = _vectors(spark, sf_dir, conv_vocab(spark, sf_dir))
+    return G.concat_spaces(a, b)
+
+
+def two_spaces_sql():
+    return (f"WITH {_doc_corpus_sql()}, {_vocab_sql(V.NEWLINE_TAB_FILTERS)}, "
+            f"{_conv_corpus_sql().replace('docs AS', 'docs2 AS')}, {_vocab_sql(V.DEFAULT_FILTERS, '2')} "
+            "SELECT a.word, list_concat(ea.embedding, eb.embedding) AS vector "
+            "FROM vocab a JOIN embeddings ea ON ea.vec_id = a.word_index - 1 "
+            "JOIN vocab2 b ON b.word = a.word JOIN embeddings eb ON eb.vec_id = b.word_index - 1")
+
+
+def features_appended(spark, sf_dir):
+    """The flattened word vectors of a turn followed by its 30 features."""
+    from biasframe.operators.features import append_features, feature_columns
+    vocab = conv_vocab(spark, sf_dir)
+    m = G.embedding_matrix(vocab, _vectors(spark, sf_dir, vocab), EMBED_DIM)
+    flat = G.flatten_vectors(V.pad_to_longest(_conv_seqs(spark, sf_dir)), m)
+    feats = conv_docs(spark, sf_dir).select("id", F.array(*[c.cast("double") for c in feature_columns("text")]).alias("f"))
+    return flat.join(feats, "id").select("id", append_features("flat", "f").alias("vector"))
+
+
+def features_appended_sql():
+    t = "coalesce(c.text, '')"
+    cols = [S.punctuation_count(t)] + [S.longest_run(t, ch) for ch in X.AGGRESSIVE_PUNCTUATION]
+    from biasframe.schema import IDENTITY_COLUMNS
+    cols += [S.substring_count(t, name) for name in IDENTITY_COLUMNS]
+    cols += ["0", S.word_count(t)]
+    feats = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in cols) + "]"
+    base = flatten_sql()
+    return (f"WITH fl AS ({base}), ft AS (SELECT conv_id * 1000 + turn AS id, {feats} AS f FROM conversations c) "
+            "SELECT fl.id, list_concat(CAST(fl.flat AS DOUBLE[]), ft.f) AS vector FROM fl JOIN ft ON ft.id = fl.id")
+
+
 QUERIES = {
+    "g13_concat_spaces": (two_spaces, two_spaces_sql),
+    "e8_append_features": (features_appended, features_appended_sql),
     "f4_vocabulary": (vocabulary, vocabulary_sql),
     "f7_vocabulary_size": (vocabulary_size, vocabulary_size_sql),
     "f8_encode": (encode_docs, encode_docs_sql),
