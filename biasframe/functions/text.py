@@ -154,9 +154,9 @@ def substring_count(c: Column | str, word: str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    """E5 (feature 29): ``len(text.split())`` - words between whitespace runs."""
-    s = collapse_whitespace(c)
-    return F.when(s == "", F.lit(0)).otherwise(F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
+    """E5 (feature 29): ``len(text.split())`` - the number of maximal
+    non-whitespace runs, counted in one regex pass without building a string."""
+    return F.regexp_count(F.coalesce(_c(c), F.lit("")), F.lit(NON_WHITESPACE_CLASS + "+"))
 
 
 def space_split_count(c: Column | str) -> Column:

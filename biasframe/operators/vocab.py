@@ -53,36 +53,51 @@ def corpus(parts: Sequence[DataFrame], id_col: str = "id", text: str = "text") -
     return out
 
 
-def fit_vocabulary(corp: DataFrame, filters: str = DEFAULT_FILTERS, lower: bool = True) -> DataFrame:
-    """(word, word_count, word_index) over a ``corpus`` frame."""
-    tok = corp.select("part", "doc", F.posexplode(tokens("text", filters, lower)).alias("pos", "word"))
+def tokenize(corp: DataFrame, filters: str = DEFAULT_FILTERS, lower: bool = True) -> DataFrame:
+    """(part, doc, pos, word): one row per token of a ``corpus`` frame."""
+    return corp.select("part", "doc", F.posexplode(tokens("text", filters, lower)).alias("pos", "word"))
+
+
+def vocabulary_from_tokens(tok: DataFrame) -> DataFrame:
+    """(word, word_count, word_index) from ``tokenize`` rows."""
     stats = tok.groupBy("word").agg(F.count(F.lit(1)).alias("word_count"),
                                     F.min(F.struct("part", "doc", "pos")).alias("_first"))
     ranked = dense_index(stats, [F.desc("word_count"), F.col("_first"), F.col("word")], name="_r")
     return ranked.select("word", "word_count", (F.col("_r") + 1).alias("word_index"))
 
 
+def fit_vocabulary(corp: DataFrame, filters: str = DEFAULT_FILTERS, lower: bool = True) -> DataFrame:
+    """(word, word_count, word_index) over a ``corpus`` frame."""
+    return vocabulary_from_tokens(tokenize(corp, filters, lower))
+
+
 def vocabulary_size(vocab: DataFrame) -> DataFrame:
     """``len(word_index) + 1`` (index 0 is padding)."""
     return vocab.agg((F.count(F.lit(1)) + 1).alias("vocab_size"))
 
 
-def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text: str = "text",
-           filters: str = DEFAULT_FILTERS, lower: bool = True, num_words: int | None = None,
-           out: str = "ids") -> DataFrame:
-    """Word ids in text order; unknown words (and, with ``num_words``,
-    words of index >= num_words) are dropped. Documents without a known word
-    get an empty array."""
+def encode_tokens(doc_ids: DataFrame, tok: DataFrame, vocab: DataFrame, id_col: str = "id",
+                  num_words: int | None = None, out: str = "ids") -> DataFrame:
+    """F6/F8 on (doc, pos, word) token rows: word ids in text order; unknown
+    words (and, with ``num_words``, indexes >= num_words) are dropped; every
+    id of ``doc_ids`` gets a row (an empty array without known words)."""
     v = vocab.select("word", "word_index")
     if num_words is not None:
         v = F.broadcast(v.where(F.col("word_index") < num_words))  # at most num_words rows
-    tok = docs.select(F.col(id_col), F.posexplode(tokens(text, filters, lower)).alias("pos", "word"))
-    hit = tok.join(v, "word")
+    hit = tok.select(F.col("doc").alias(id_col), "pos", "word").join(v, "word")
     seqs = (hit.groupBy(id_col)
                .agg(F.array_sort(F.collect_list(F.struct("pos", "word_index"))).alias("_s"))
                .select(id_col, F.col("_s.word_index").alias(out)))
-    return (docs.select(id_col).join(seqs, id_col, "left")
-                .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>"))))
+    return (doc_ids.select(id_col).join(seqs, id_col, "left")
+                   .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<bigint>"))))
+
+
+def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text: str = "text",
+           filters: str = DEFAULT_FILTERS, lower: bool = True, num_words: int | None = None,
+           out: str = "ids") -> DataFrame:
+    """F6/F8 on a text column."""
+    tok = docs.select(F.col(id_col).alias("doc"), F.posexplode(tokens(text, filters, lower)).alias("pos", "word"))
+    return encode_tokens(docs, tok, vocab, id_col, num_words, out)
 
 
 def max_length(seqs: DataFrame, col: str = "ids") -> DataFrame:

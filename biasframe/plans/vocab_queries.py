@@ -12,7 +12,7 @@ from biasframe.operators import normalize as N
 from biasframe.operators import partition as P
 from biasframe.operators import sample as H
 from biasframe.operators import vocab as V
-from biasframe.operators.ordering import attach_row, spread
+from biasframe.operators.ordering import attach_row, materialize, spread
 from biasframe.schema import SCORED_IDENTITIES, SUBTYPE_COLUMNS
 from biasframe.sources.comments import comments, with_comments
 from biasframe.sources.tables import table
@@ -89,10 +89,17 @@ def vocabulary_size_sql():
     return f"WITH {_doc_corpus_sql()}, {_vocab_sql(V.NEWLINE_TAB_FILTERS)} SELECT count(*) + 1 AS vocab_size FROM vocab"
 
 
-def encode_docs(spark, sf_dir):
+def _doc_sequences(spark, sf_dir):
+    """Clean and tokenise once (materialised), then fit and encode from the
+    same token rows."""
     corp = doc_corpus(spark, sf_dir)
-    vocab = V.fit_vocabulary(corp, V.NEWLINE_TAB_FILTERS)
-    return V.encode(corp.select(F.col("doc").alias("id"), "text"), vocab, filters=V.NEWLINE_TAB_FILTERS)
+    tok = materialize(V.tokenize(corp, V.NEWLINE_TAB_FILTERS))
+    vocab = V.vocabulary_from_tokens(tok)
+    return V.encode_tokens(corp.select(F.col("doc").alias("id")), tok, vocab)
+
+
+def encode_docs(spark, sf_dir):
+    return _doc_sequences(spark, sf_dir)
 
 
 def _encode_sql(cap: str = "") -> str:
@@ -108,10 +115,7 @@ def encode_docs_sql():
 
 
 def max_len(spark, sf_dir):
-    corp = doc_corpus(spark, sf_dir)
-    vocab = V.fit_vocabulary(corp, V.NEWLINE_TAB_FILTERS)
-    return V.max_length(V.encode(corp.select(F.col("doc").alias("id"), "text"), vocab,
-                                 filters=V.NEWLINE_TAB_FILTERS)).select(F.col("max_len").cast("long"))
+    return V.max_length(_doc_sequences(spark, sf_dir)).select(F.col("max_len").cast("long"))
 
 
 def max_len_sql():
@@ -119,9 +123,9 @@ def max_len_sql():
             "SELECT CAST(max(len(ids)) AS BIGINT) AS max_len FROM seqs")
 
 
-def _conv_seqs(spark, sf_dir, num_words=None):
+def _conv_seqs(spark, sf_dir, num_words=None, vocab=None):
     docs = conv_docs(spark, sf_dir)
-    vocab = conv_vocab(spark, sf_dir)
+    vocab = vocab if vocab is not None else conv_vocab(spark, sf_dir)
     return V.encode(docs, vocab, num_words=num_words)
 
 
@@ -148,8 +152,8 @@ def pad_pre_sql():
 
 
 def model_inputs(spark, sf_dir):
-    s = _conv_seqs(spark, sf_dir)
     vocab = conv_vocab(spark, sf_dir)
+    s = _conv_seqs(spark, sf_dir, vocab=vocab)
     top = vocab.agg(F.max("word_index").alias("_top"))
     s = attach_row(s, top)
     cols = V.model_inputs("ids", MODEL_LEN, F.col("_top") + 1, F.col("_top") + 2)
@@ -234,8 +238,8 @@ def oov_words_sql():
 def flatten(spark, sf_dir):
     vocab = conv_vocab(spark, sf_dir)
     m = G.embedding_matrix(vocab, _vectors(spark, sf_dir, vocab), EMBED_DIM)
-    seqs = V.pad_to_longest(_conv_seqs(spark, sf_dir))
-    return G.flatten_vectors(seqs, m)
+    seqs = V.pad_to_longest(_conv_seqs(spark, sf_dir, vocab=vocab))
+    return G.flatten_vectors(seqs, m, dim=EMBED_DIM)
 
 
 def flatten_sql():
@@ -324,7 +328,7 @@ def features_appended(spark, sf_dir):
     from biasframe.operators.features import append_features, feature_columns
     vocab = conv_vocab(spark, sf_dir)
     m = G.embedding_matrix(vocab, _vectors(spark, sf_dir, vocab), EMBED_DIM)
-    flat = G.flatten_vectors(V.pad_to_longest(_conv_seqs(spark, sf_dir)), m)
+    flat = G.flatten_vectors(V.pad_to_longest(_conv_seqs(spark, sf_dir, vocab=vocab)), m, dim=EMBED_DIM)
     feats = conv_docs(spark, sf_dir).select("id", F.array(*[c.cast("double") for c in feature_columns("text")]).alias("f"))
     return flat.join(feats, "id").select("id", append_features("flat", "f").alias("vector"))
 
