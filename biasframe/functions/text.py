@@ -14,25 +14,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values (must equal the reference) ---------------------------------
-# Python's whitespace set (str.isspace), used by split() and by \s.
+# Python's whitespace set (str.isspace), used by split() and by \s, written
+# out for RE2 (the SQL oracle) ...
 WHITESPACE_CLASS = ("[\\t\\n\\x0b\\f\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
                     "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
 NON_WHITESPACE_CLASS = "[^" + WHITESPACE_CLASS[1:]
+# ... and for Java: with the (?U) flag \s is Unicode White_Space, which is the
+# same set without U+001C..U+001F. Java matches this form about 4-10x faster.
+JAVA_WS = "[\\s\\x1c-\\x1f]"
+JAVA_NON_WS = "[^\\s\\x1c-\\x1f]"
 # The punctuation constant: 64 characters, 58 distinct. As written in the
 # reference; the escape before "×" is not recognised and stays a backslash.
 PUNCTUATION = "/-'?!.,#$%'()*+-/:;<=>@[\\]^_`{|}~`" + '""“”’' + "∞θ÷α•à−β∅³π‘₹´°£€\\×™√²—–&"
 AGGRESSIVE_PUNCTUATION = "!*."
-# Emoticon rules, applied in this order.
-EMOTICON_RULES = [
+# Emoticon rules, applied in this order (``{ws}`` = one whitespace character).
+EMOTICON_TEMPLATES = [
     ("(<3|:\\*)", " Love "),
     ("(;-?\\)|;-?D|\\(-?;)", " Wink "),
-    ("(:" + WHITESPACE_CLASS + "?\\(|:-\\(|\\)" + WHITESPACE_CLASS + "?:|\\)-:)", " Sad "),
+    ("(:{ws}?\\(|:-\\(|\\){ws}?:|\\)-:)", " Sad "),
 ]
-URL_PATTERN = "http" + NON_WHITESPACE_CLASS + "+"
 NEGATION = ("n't", "not")
 NUMBER_PATTERN = "[0-9]+"
 # --- end of fixed values -----------------------------------------------------
 
+EMOTICON_RULES = [(p.replace("{ws}", WHITESPACE_CLASS), w) for p, w in EMOTICON_TEMPLATES]   # RE2
+URL_PATTERN = "http" + NON_WHITESPACE_CLASS + "+"                                          # RE2
+_JAVA_EMOTICONS = [("(?U)" + p.replace("{ws}", JAVA_WS), w) for p, w in EMOTICON_TEMPLATES]
+_JAVA_URL = "(?U)http" + JAVA_NON_WS + "+"
+
 
 def _distinct(chars: str) -> str:
     seen: list[str] = []
@@ -58,19 +67,19 @@ def as_text(c: Column | str) -> Column:
 def clean_emoticons(c: Column | str) -> Column:
     """D1."""
     t = _c(c)
-    for pattern, word in EMOTICON_RULES:
+    for pattern, word in _JAVA_EMOTICONS:
         t = F.regexp_replace(t, pattern, word)
     return t
 
 
 def clean_urls(c: Column | str) -> Column:
     """Drop ``http`` up to the next whitespace."""
-    return F.regexp_replace(_c(c), URL_PATTERN, "")
+    return F.regexp_replace(_c(c), _JAVA_URL, "")
 
 
 def collapse_whitespace(c: Column | str) -> Column:
     """D3: every whitespace run -> one space, trimmed."""
-    return F.trim(F.regexp_replace(_c(c), WHITESPACE_CLASS + "+", " "))
+    return F.trim(F.regexp_replace(_c(c), "(?U)" + JAVA_WS + "+", " "))
 
 
 def clean_negation(c: Column | str) -> Column:
@@ -155,8 +164,13 @@ def substring_count(c: Column | str, word: str) -> Column:
 
 def word_count(c: Column | str) -> Column:
     """E5 (feature 29): ``len(text.split())`` - the number of maximal
-    non-whitespace runs, counted in one regex pass without building a string."""
-    return F.regexp_count(F.coalesce(_c(c), F.lit("")), F.lit(NON_WHITESPACE_CLASS + "+"))
+    non-whitespace runs. Each run with the whitespace around it becomes one
+    character (possessive quantifiers: no backtracking), so the count is the
+    length of a short string; no per-word strings are built."""
+    t = F.coalesce(_c(c), F.lit(""))
+    ws = JAVA_WS
+    one_per_word = F.regexp_replace(t, f"(?U){ws}*+{JAVA_NON_WS}++{ws}*+", "w")
+    return F.length(F.regexp_replace(one_per_word, f"(?U){ws}+", ""))
 
 
 def space_split_count(c: Column | str) -> Column:
@@ -171,8 +185,14 @@ def whitespace_tokens(c: Column | str) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
 
 
+def _quote(w: str) -> str:
+    return "".join("\\" + ch if not ch.isalnum() else ch for ch in w)
+
+
 def contains_any_word(c: Column | str, words: list[str]) -> Column:
-    """True when a lower-cased whitespace token is in a (small) word list.
+    """True when a lower-cased whitespace token is in a (small) word list:
+    one regex search for a listed word between whitespace / text ends.
     For a large list use ``operators.features.flag_words`` (a join)."""
-    toks = whitespace_tokens(F.lower(_c(c)))
-    return F.arrays_overlap(toks, F.array(*[F.lit(w.lower()) for w in words]))
+    alts = "|".join(_quote(w.lower()) for w in words)
+    pattern = f"(?U)(?:^|{JAVA_WS})(?:{alts})(?={JAVA_WS}|$)"
+    return F.coalesce(F.lower(_c(c)).rlike(pattern), F.lit(False))

@@ -145,7 +145,7 @@ def model_inputs(ids: Column | str, max_len: int, cls_id: Column | int, sep_id:
 def sentences(text: Column | str) -> Column:
     """F2 (re-aimed, rule based): split after ``.``, ``!`` or ``?`` followed by
     whitespace; empty pieces dropped."""
-    from biasframe.functions.text import WHITESPACE_CLASS
-    marked = F.regexp_replace(F.coalesce(_c(text), F.lit("")), "([.!?])" + WHITESPACE_CLASS + "+", "$1\u0001")
+    from biasframe.functions.text import JAVA_WS
+    marked = F.regexp_replace(F.coalesce(_c(text), F.lit("")), "(?U)([.!?])" + JAVA_WS + "+", "$1\u0001")
     parts = F.split(marked, "\u0001")
     return F.filter(parts, lambda s: F.trim(s) != "")

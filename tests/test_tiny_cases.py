@@ -133,3 +133,10 @@ def test_power_mean_and_final(spark):
 def test_softmax(spark):
     df = spark.createDataFrame([(math.log(0.25), math.log(0.75))], "a double, b double")
     assert df.select(L.softmax_positive("a", "b")).collect()[0][0] == pytest.approx(0.75)
+
+
+def test_java_whitespace_class_is_python_isspace(spark):
+    chars = [chr(i) for i in range(0, 0x3100) if not 0xD800 <= i <= 0xDFFF]
+    df = spark.createDataFrame([(i, ch) for i, ch in enumerate(chars)], "i int, ch string")
+    got = {r["i"]: r["m"] for r in df.select("i", F.col("ch").rlike("(?U)^" + X.JAVA_WS + "$").alias("m")).collect()}
+    assert all(got[i] == ch.isspace() for i, ch in enumerate(chars))
