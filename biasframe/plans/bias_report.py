@@ -27,7 +27,8 @@ def subgroup_flags() -> dict[str, Column]:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comments(spark, sf_dir).where(F.col("target").isNotNull())
+    """Labelled comments (the validation rows with a model score)."""
+    return comments(spark, sf_dir, with_time=False).where(F.col("target").isNotNull())
 
 
 def bias_table(spark: SparkSession, sf_dir: str) -> DataFrame:

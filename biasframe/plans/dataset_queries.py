@@ -173,7 +173,24 @@ def sample_like_sql():
             "WHERE pos < (SELECT count(*) FROM labels)")
 
 
+def split_tables(spark, sf_dir):
+    """The held-out split rebuilt as (text, label, identities)."""
+    from biasframe.operators.normalize import to_bool
+    from biasframe.schema import SCORED_IDENTITIES
+    df = to_bool(comments(spark, sf_dir).where(F.col("target").isNotNull()))
+    train, test = H.train_test_split(df, 0.2)
+    return test.select("id", "comment_text", "target", *SCORED_IDENTITIES)
+
+
+def split_tables_sql():
+    from biasframe.schema import SCORED_IDENTITIES
+    cols = ", ".join(f"coalesce({c} >= 0.5e0, false) AS {c}" for c in SCORED_IDENTITIES)
+    return with_comments(f"SELECT id, comment_text, coalesce(target >= 0.5e0, false) AS target, {cols} "
+                         f"FROM comments WHERE target IS NOT NULL AND {HS} < {int(0.2 * H.TWO_32)}")
+
+
 QUERIES = {
+    "b15_split_tables": (split_tables, split_tables_sql),
     "j1_find_duplicates": (find_duplicates, find_duplicates_sql),
     "j2_collapse_duplicates": (collapse, collapse_sql),
     "j3_removed_before": (removed_before, removed_before_sql),

@@ -14,7 +14,7 @@ from biasframe.operators import models as ML
 from biasframe.operators import sample as H
 from biasframe.operators import vocab as V
 from biasframe.operators.features import FEATURE_NAMES, feature_columns
-from biasframe.operators.ordering import attach_row
+from biasframe.operators.ordering import attach_row, materialize
 from biasframe.plans.bias_report import labelled, subgroup_flags
 from biasframe.schema import SCORED_IDENTITIES, SUBTYPE_COLUMNS
 from biasframe.sources.files import fill_template, volume_report
@@ -52,7 +52,8 @@ def importances(spark, sf_dir):
 def random_search(spark, sf_dir):
     """L2: 2 of the 4 grid points, 3 folds on a hash fold column, by AUC."""
     from pyspark.ml.classification import RandomForestClassifier
-    d = _train_frame(spark, sf_dir).withColumn("fold", H.fold_column(3))
+    d = materialize(_train_frame(spark, sf_dir).withColumn("fold", H.fold_column(3))
+                    .select("id", "features", "label", "fold"))
     est = RandomForestClassifier(labelCol="label", featuresCol="features", seed=7)
     cv = ML.random_search(est, d, {"numTrees": [10, 20], "maxDepth": [3, 5]}, n_iter=2,
                           label="label", fold_col="fold", seed=0)
@@ -67,7 +68,9 @@ def multilabel(spark, sf_dir):
     labels = ["target", *SUBTYPE_COLUMNS]
     d = d.withColumns({f"y_{c}": as_class(c).cast("double") for c in labels})
     d = d.withColumn("w", M.training_weight("target", SCORED_IDENTITIES))
-    models = ML.train_multilabel(d, [f"y_{c}" for c in labels], weight="w", max_iter=20)
+    # the features feed six fits and the scoring: computed once
+    d = materialize(d.select("id", "features", "w", *[f"y_{c}" for c in labels]))
+    models = ML.train_multilabel(d, [f"y_{c}" for c in labels], weight="w", max_iter=10)
     out = d.select("id", "features")
     for lab, m in models.items():
         out = m.transform(out).withColumn(f"p_{lab}", ML.positive_probability(f"{lab}_prob")).drop(

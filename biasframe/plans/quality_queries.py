@@ -163,7 +163,35 @@ def targets_sql():
                          f"{', '.join(SUBTYPE_COLUMNS)} {LAB}")
 
 
+ML_LABELS = ["target", *SUBTYPE_COLUMNS]
+
+
+def f1_multilabel(spark, sf_dir):
+    """K11 on a label matrix: each of the 6 labels (>= 0.5) predicted by the
+    one score (>= 0.5), binary F1 per label weighted by its positives."""
+    df = labelled(spark, sf_dir)
+    df = df.select(*[at_least(c, 0.5).alias(f"y_{c}") for c in ML_LABELS],
+                   *[at_least("score", 0.5).alias(f"p_{c}") for c in ML_LABELS])
+    out = M.f1_weighted_multilabel(df, [f"p_{c}" for c in ML_LABELS], [f"y_{c}" for c in ML_LABELS])
+    return out.select(F.round("f1_weighted", 9).alias("f1_weighted"))
+
+
+def f1_multilabel_sql():
+    parts = []
+    for c in ML_LABELS:
+        y = f"coalesce({c} >= 0.5e0, false)"
+        parts.append(f"count(*) FILTER (WHERE {PRED_SQL} AND {y}) AS tp_{c}, "
+                     f"count(*) FILTER (WHERE {PRED_SQL} AND NOT {y}) AS fp_{c}, "
+                     f"count(*) FILTER (WHERE NOT {PRED_SQL} AND {y}) AS fn_{c}")
+    num = " + ".join(f"(CASE WHEN 2 * tp_{c} + fp_{c} + fn_{c} <> 0 THEN 2 * tp_{c} / (2 * tp_{c} + fp_{c} + fn_{c}) ELSE 0 END) * (tp_{c} + fn_{c})"
+                     for c in ML_LABELS)
+    den = " + ".join(f"(tp_{c} + fn_{c})" for c in ML_LABELS)
+    return with_comments(f"WITH c AS (SELECT {', '.join(parts)} {LAB}) "
+                         f"SELECT round(CASE WHEN {den} <> 0 THEN ({num}) / ({den}) ELSE 0 END, 9) AS f1_weighted FROM c")
+
+
 QUERIES = {
+    "k11_f1_multilabel": (f1_multilabel, f1_multilabel_sql),
     "k10_accuracy": (accuracy, accuracy_sql),
     "k11_f1_weighted": (f1w, f1w_sql),
     "k12_precision_recall_f1": (prf, prf_sql),

@@ -30,12 +30,17 @@ def _identity(n: Column, k: int) -> Column:
              .otherwise((r - 4) / F.lit(6.0)))
 
 
-def comments_frame(documents: DataFrame, labels: DataFrame, events: DataFrame) -> DataFrame:
+def comments_frame(documents: DataFrame, labels: DataFrame, events: DataFrame | None) -> DataFrame:
+    """``events`` may be None when ``created_date`` is not needed: the event
+    key is unique, so the left join adds a column and never rows."""
     d = spread(documents.select("doc_id", "text", "lang", "source"), "doc_id")
     lab = labels.select(F.col("doc_id").alias("_l_doc"), "toxic")
-    ev = events.select(F.col("event_id").alias("_e_id"), "ts")
-    j = (d.join(lab, d.doc_id == lab._l_doc, "left")
-          .join(ev, d.doc_id == ev._e_id, "left"))
+    j = d.join(lab, d.doc_id == lab._l_doc, "left")
+    if events is not None:
+        ev = events.select(F.col("event_id").alias("_e_id"), "ts")
+        j = j.join(ev, d.doc_id == ev._e_id, "left")
+    else:
+        j = j.withColumn("ts", F.lit(None).cast("timestamp_ntz"))
     n = F.col("doc_id")
     labelled = F.col("_l_doc").isNotNull()
     suffix = F.element_at(F.array(*[F.lit(s) for s in NOISY_SUFFIXES]), (n % 6 + 1).cast("int"))
@@ -55,9 +60,9 @@ def comments_frame(documents: DataFrame, labels: DataFrame, events: DataFrame) -
     return j.select(*cols)
 
 
-def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def comments(spark: SparkSession, sf_dir: str, with_time: bool = True) -> DataFrame:
     return comments_frame(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
-                          table(spark, sf_dir, "events"))
+                          table(spark, sf_dir, "events") if with_time else None)
 
 
 def sql_quote(s: str) -> str:

@@ -69,3 +69,33 @@ def test_streaming_features(spark):
     assert out[1]["clean_text"] == "Hi    Sad 0"  # special chars go after the whitespace step
     assert out[2]["features_array"][4 + 13] == 2.0   # "male" occurs twice
     assert out[1]["features_array"][1] == 3.0         # longest "!" run
+
+
+def test_csv_to_json_and_model_round_trip(spark):
+    d = _tmp()
+    p = os.path.join(d, "in.csv")
+    with open(p, "w") as f:
+        f.write("id,male,comment_text\n1,1.0,a\n2,0.0,b\n")
+    files.csv_to_json(spark, p, os.path.join(d, "json"))
+    rows = spark.read.json(os.path.join(d, "json")).orderBy("id").collect()
+    assert [r["male"] for r in rows] == ["1.0", "0.0"]          # every value kept as a string
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    df = spark.createDataFrame([(0.0, 0.1), (1.0, 0.9), (0.0, 0.2), (1.0, 0.8)], "label double, x double")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"),
+                             LogisticRegression(maxIter=5)]).fit(df)
+    files.save_model(model, os.path.join(d, "model"))
+    back = files.load_pipeline_model(os.path.join(d, "model"))
+    assert [r["prediction"] for r in back.transform(df).collect()] == [r["prediction"] for r in model.transform(df).collect()]
+
+
+def test_flag_words_join(spark):
+    from biasframe.operators.features import flag_words
+    df = spark.createDataFrame([(1, "You are BAD"), (2, "fine"), (3, None)], "id long, t string")
+    words = spark.createDataFrame([("bad",), ("worse",)], "word string")
+    got = {r["id"]: r["has_word"] for r in flag_words(df, "id", "t", words).collect()}
+    assert got == {1: True, 2: False, 3: False}
+    from biasframe.functions.text import contains_any_word
+    got2 = {r["id"]: r["f"] for r in df.select("id", contains_any_word("t", ["bad", "worse"]).alias("f")).collect()}
+    assert got2 == got
