@@ -54,7 +54,7 @@ def removed_before_sql():
     return with_comments("""
 WITH f AS (SELECT id, CASE WHEN id <> min(id) OVER (PARTITION BY comment_text) THEN 1 ELSE 0 END AS removed FROM comments),
 r AS (SELECT id, removed, coalesce(sum(removed) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM f)
-SELECT id, nb AS n_removed_before FROM r WHERE removed = 0""")
+SELECT id, CAST(nb AS BIGINT) AS n_removed_before FROM r WHERE removed = 0""")
 
 
 def tagged(spark, sf_dir):
