@@ -82,9 +82,11 @@ def identity_toxicity(df: DataFrame, label: str = "target", cols: Sequence[str]
     out = long.groupBy("identity").agg(
         F.avg(label).alias("ratio"), F.count_if(above(label, 0.5)).alias("n_toxic"),
         F.count_if(below(label, 0.5)).alias("n_non_toxic"), F.count(F.lit(1)).alias("size"))
-    return out.select("identity", F.round("ratio", digits).alias("ratio"), "n_toxic", "n_non_toxic", "size",
-                      F.round(F.col("ratio") * 100.0, 1).alias("pct_round"),
-                      ((F.col("ratio") * 1000.0).cast("long") / F.lit(10.0)).alias("pct_floor"))
+    out = out.select("identity", F.round("ratio", digits).alias("ratio"), "n_toxic", "n_non_toxic", "size",
+                     F.round(F.col("ratio") * 100.0, 1).alias("pct_round"),
+                     ((F.col("ratio") * 1000.0).cast("long") / F.lit(10.0)).alias("pct_floor"))
+    # Largest groups first (one row per identity)
+    return out.orderBy(F.desc("size"), "identity")
 
 
 def histogram(df: DataFrame, value: Column | str, bins: int, by: Sequence[str] = (),
