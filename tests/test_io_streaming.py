@@ -3,7 +3,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from biasframe.sources import files
