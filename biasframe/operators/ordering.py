@@ -35,10 +35,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _parts(df: DataFrame, parts: int | None) -> int:
-    if parts:
-        return int(parts)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _by_range(df: DataFrame, parts: int | None, *keys: Column) -> DataFrame:
+    """Range-partition on ``keys``. Without an explicit count the shuffle uses
+    ``spark.sql.shuffle.partitions`` (sized for the cluster) and AQE may merge
+    adjacent small slices; merged slices stay contiguous, so partition ids
+    remain ordered."""
+    return df.repartitionByRange(int(parts), *keys) if parts else df.repartitionByRange(*keys)
 
 
 def running_sums_below(df: DataFrame, group_cols: Sequence[str], order_col: str,
@@ -50,10 +52,9 @@ def running_sums_below(df: DataFrame, group_cols: Sequence[str], order_col: str,
 
     No task ever holds more than one range slice: the slice count bounds the
     per-task work at ``rows / parts`` whatever the group sizes are."""
-    n = _parts(df, parts)
     g = list(group_cols)
-    ranged = materialize(df.repartitionByRange(n, F.col(order_col))
-                           .withColumn("_slice", F.spark_partition_id()))
+    ranged = materialize(_by_range(df, parts, F.col(order_col))
+                         .withColumn("_slice", F.spark_partition_id()))
     inner = Window.partitionBy(*g, "_slice").orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, -1)
     local = ranged.select("*", *[F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"_in_{v}")
@@ -74,9 +75,8 @@ def dense_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_i
 
     ``order`` must be a total order (end it with a unique key). Optionally add
     ``total_name`` = number of rows. Work per task is rows / parts."""
-    n = _parts(df, parts)
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = materialize(_by_range(df, parts, *keys).sortWithinPartitions(*keys)
                            .withColumn("_slice", F.spark_partition_id())
                            .withColumn("_mono", F.monotonically_increasing_id()))
     counts = ranged.groupBy("_slice").agg(F.count(F.lit(1)).alias("_cnt"))

@@ -17,19 +17,21 @@ def brute_auc(pairs):
     return hits / (len(pos) * len(neg))
 
 
-def test_running_sums_match_brute_force(spark):
+@pytest.mark.parametrize("parts", [7, None])
+def test_running_sums_match_brute_force(spark, parts):
     rnd = random.Random(3)
     rows = [(g, x, rnd.randint(0, 5)) for g in "abc" for x in rnd.sample(range(200), 60)]
     df = spark.createDataFrame(rows, "g string, x long, v long")
     got = {(r["g"], r["x"]): r["v_below"]
-           for r in ordering.running_sums_below(df, ["g"], "x", ["v"], parts=7).collect()}
+           for r in ordering.running_sums_below(df, ["g"], "x", ["v"], parts=parts).collect()}
     for g, x, _ in rows:
         assert got[(g, x)] == sum(v for g2, x2, v in rows if g2 == g and x2 < x)
 
 
-def test_dense_index_is_consecutive(spark):
+@pytest.mark.parametrize("parts", [5, None])
+def test_dense_index_is_consecutive(spark, parts):
     df = spark.range(0, 1000).withColumn("k", (F.col("id") * 7919) % 1000)
-    out = ordering.dense_index(df, ["k", "id"], name="pos", parts=5, total_name="n").collect()
+    out = ordering.dense_index(df, ["k", "id"], name="pos", parts=parts, total_name="n").collect()
     by_pos = sorted(out, key=lambda r: r["pos"])
     assert [r["pos"] for r in by_pos] == list(range(1000))
     assert [r["k"] for r in by_pos] == sorted(r["k"] for r in out)
