@@ -155,10 +155,13 @@ def _re_escape(ch: str) -> str:
     return "\\" + ch if ch in ".*+?()[]{}|^$\\" else ch
 
 
-def substring_count(c: Column | str, word: str) -> Column:
+def substring_count(c: Column | str, word: str, whole_word: bool = False) -> Column:
     """Non-overlapping, case-sensitive substring count (``male`` is
-    found inside ``female``, as in the reference)."""
+    found inside ``female``, as in the reference). ``whole_word=True`` counts
+    only occurrences not inside a longer word (Unicode letters, digits, _)."""
     t = _c(c)
+    if whole_word:
+        return F.regexp_count(t, F.lit(f"(?U)(?<!\\w){_quote(word)}(?!\\w)"))
     return F.floor((F.length(t) - F.length(F.replace(t, F.lit(word), F.lit("")))) / F.lit(len(word))).cast("int")
 
 

@@ -69,6 +69,7 @@ def test_runs(spark):
 def test_substring_count(spark):
     assert _one(spark, lambda c: X.substring_count(c, "male"), "female male") == 2
     assert _one(spark, lambda c: X.substring_count(c, "female"), "female male") == 1
+    assert _one(spark, lambda c: X.substring_count(c, "male", whole_word=True), "female male, male_x") == 1
 
 
 def test_numbers_urls(spark):
