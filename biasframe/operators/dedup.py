@@ -34,20 +34,24 @@ def collapse_duplicates(df: DataFrame, id_col: str = "id", text: str = "comment_
                         digits: int | None = 9) -> DataFrame:
     """Keep the first row (lowest id) of each text; its label becomes the
     weight-averaged label of the copies that have a label (NULL when their
-    weights sum to 0). Rows without copies keep their label."""
-    others = [c for c in df.columns if c != text]
+    weights sum to 0). Rows without copies keep their label.
+
+    The per-text aggregate keeps only fixed-width buffers (min id, count,
+    sums), so it runs as a hash aggregation combined map-side; the kept rows
+    are then fetched by an equi-join on the id. (Carrying the whole first row
+    through ``min_by(struct)`` would force a sort-based aggregation on text.)"""
     w = F.when(F.col(label).isNotNull(), F.col(weight).cast("double"))
     sw = F.sum(w)
     g = df.groupBy(text).agg(
-        F.min_by(F.struct(*[F.col(c) for c in others]), F.col(id_col)).alias("_first"),
+        F.min(id_col).alias("_first"),
         F.count(F.lit(1)).alias("_n"),
         F.when(sw != 0, F.sum(F.col(label) * w) / sw).alias("_wavg"))
-    new_label = F.when(F.col("_n") > 1, F.col("_wavg")).otherwise(F.col(f"_first.{label}"))
+    firsts = g.select(F.col("_first").alias(id_col), "_n", "_wavg")
+    kept = df.join(firsts, id_col)
+    new_label = F.when(F.col("_n") > 1, F.col("_wavg")).otherwise(F.col(label))
     if digits is not None:
         new_label = F.round(new_label, digits)
-    cols = [F.col(f"_first.{c}").alias(c) if c != label else new_label.alias(label) for c in others]
-    out = g.select(F.col(text), *cols)
-    return out.select(*df.columns)
+    return kept.select(*[new_label.alias(c) if c == label else F.col(c) for c in df.columns])
 
 
 def removed_before(df: DataFrame, id_col: str = "id", text: str = "comment_text") -> DataFrame:

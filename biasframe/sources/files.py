@@ -53,7 +53,10 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     rows = lines.where(F.size("_p") > 1).select(
         "_line", F.element_at("_p", 1).alias("word"),
         F.slice("_p", 2, F.size("_p") - 1).cast("array<float>").alias("vector"))
-    return (rows.groupBy("word").agg(F.max_by("vector", "_line").alias("vector")))
+    # last line per word by a hash aggregation on fixed-width values, then the
+    # vector of that line by an equi-join (no sort-based aggregation on arrays)
+    last = rows.groupBy("word").agg(F.max("_line").alias("_line"))
+    return rows.join(last, ["word", "_line"]).select("word", "vector")
 
 
 def write_word_vectors(df: DataFrame, path: str, mode: str = "overwrite") -> None:
