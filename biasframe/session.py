@@ -17,6 +17,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the whole cluster (default heap 1g)
+            b = b.config("spark.driver.memory", os.environ.get("BIASFRAME_DRIVER_MEMORY", "16g"))
     b = (b.config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
