@@ -93,3 +93,26 @@ def test_training_weights_values(spark):
     df = comments(spark, "/root/testdata/sf0.001").where(F.col("target").isNotNull())
     vals = {r[0] for r in df.select(metrics.training_weight("target", SCORED_IDENTITIES)).distinct().collect()}
     assert vals <= {0.25, 0.5, 0.75, 1.0}
+
+
+def test_hot_keys_stay_exact(spark):
+    """A third of the rows share one score and one text: results stay exact."""
+    from biasframe.operators import dedup
+    rnd = random.Random(17)
+    rows = []
+    for i in range(3000):
+        hot = i % 3 == 0
+        s = 0.5 if hot else rnd.random()
+        text = "same text" if hot else f"text {i}"
+        rows.append((i, text, s, rnd.random() < 0.3, hot or rnd.random() < 0.1, 1 + i % 5))
+    df = spark.createDataFrame(rows, "id long, comment_text string, s double, y boolean, a boolean, w int")
+    out = metrics.bias_metrics(df, {"a": "a"}, "y", "s", parts=4).collect()[0]
+    sub = [(r[2], r[3]) for r in rows if r[4]]
+    bpsn = [(r[2], r[3]) for r in rows if (r[4] and not r[3]) or (not r[4] and r[3])]
+    assert out["subgroup_auc"] == pytest.approx(brute_auc(sub), abs=1e-12)
+    assert out["bpsn_auc"] == pytest.approx(brute_auc(bpsn), abs=1e-12)
+    d = df.select("id", "comment_text", F.col("s").alias("target"), F.col("w").alias("toxicity_annotator_count"))
+    got = {r["id"]: r["target"] for r in dedup.collapse_duplicates(d).collect()}
+    hot_rows = [r for r in rows if r[1] == "same text"]
+    want = sum(r[2] * r[5] for r in hot_rows) / sum(r[5] for r in hot_rows)
+    assert len(got) == 2001 and got[0] == pytest.approx(want, abs=1e-9)
