@@ -38,8 +38,21 @@ def _c(c: Column | str) -> Column:
 
 
 def _ratio(num: Column, den: Column) -> Column:
-    """num / den, NULL when den is 0 (ANSI division would raise)."""
-    return F.when(den != 0, num / den)
+    """num / den as doubles, NULL when den is 0 (ANSI division would raise)."""
+    return F.when(den != 0, num.cast("double") / den.cast("double"))
+
+
+# Pair counts reach (rows)^2: at 10^12 rows that is past a long, so products
+# are exact 38-digit decimals, and the P*N denominators are doubles.
+_EXACT = "decimal(38,0)"
+
+
+def _x(c: Column | str) -> Column:
+    return _c(c).cast(_EXACT)
+
+
+def _pairs(p: Column, n: Column) -> Column:
+    return F.lit(2.0) * p.cast("double") * n.cast("double")
 
 
 def score_histogram(df: DataFrame, score: Column | str, label: Column | str,
@@ -62,8 +75,8 @@ def auc(df: DataFrame, score: Column | str, label: Column | str, by: Sequence[st
     keys = by or ["_g"]
     cum = running_sums_below(hist, keys, "x", ["neg"], parts)
     agg = cum.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),
-                                 F.sum(F.col("pos") * (2 * F.col("neg_below") + F.col("neg"))).alias("_num2"))
-    out = agg.select(*by, _ratio(F.col("_num2"), 2 * F.col("_p") * F.col("_n")).alias(name))
+                                 F.sum(_x("pos") * (2 * F.col("neg_below") + F.col("neg"))).alias("_num2"))
+    out = agg.select(*by, _ratio(F.col("_num2"), _pairs(F.col("_p"), F.col("_n"))).alias(name))
     return out
 
 
@@ -97,26 +110,26 @@ def bias_report(df: DataFrame, subgroups: Mapping[str, Column | str], label: Col
     pos, neg = F.col("pos"), F.col("neg")
     per_group = j.groupBy("g").agg(
         F.sum(pos).alias("ps"), F.sum(neg).alias("ns"),
-        F.sum(pos * (2 * F.col("neg_below") + neg)).alias("s_sub"),
+        F.sum(_x(pos) * (2 * F.col("neg_below") + neg)).alias("s_sub"),
         # subgroup negatives x background positives at or above their score
-        F.sum(neg * (2 * (F.col("pab") - F.col("pos_below")) + (F.col("pa") - pos))).alias("s_bpsn_low"),
+        F.sum(_x(neg) * (2 * (F.col("pab") - F.col("pos_below")) + (F.col("pa") - pos))).alias("s_bpsn_low"),
         # subgroup positives x background negatives below / tied
-        F.sum(pos * (2 * (F.col("nab") - F.col("neg_below")) + (F.col("na") - neg))).alias("s_bnsp"))
+        F.sum(_x(pos) * (2 * (F.col("nab") - F.col("neg_below")) + (F.col("na") - neg))).alias("s_bnsp"))
     totals = glob.agg(F.sum("pa").alias("pa_tot"), F.sum("na").alias("na_tot"),
-                      F.sum(F.col("pa") * (2 * F.col("nab") + F.col("na"))).alias("s_all"))
+                      F.sum(_x("pa") * (2 * F.col("nab") + F.col("na"))).alias("s_all"))
     spark = df.sparkSession
     # one row per requested subgroup (a bounded list), so empty subgroups stay
     wanted = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "g string, _ord int")
     t = wanted.join(F.broadcast(per_group), "g", "left").na.fill(0, ["ps", "ns", "s_sub", "s_bpsn_low", "s_bnsp"])
     t = attach_row(t, totals)
     ps, ns, pa, na = F.col("ps"), F.col("ns"), F.col("pa_tot"), F.col("na_tot")
-    bpsn_num2 = 2 * (pa - ps) * ns - F.col("s_bpsn_low")
+    bpsn_num2 = 2 * _x(pa - ps) * ns - F.col("s_bpsn_low")
     table = t.select(
         F.col("g").alias("subgroup"), (ps + ns).alias("subgroup_size"),
-        _ratio(F.col("s_sub"), 2 * ps * ns).alias(SUBGROUP_AUC),
-        _ratio(bpsn_num2, 2 * (pa - ps) * ns).alias(BPSN_AUC),
-        _ratio(F.col("s_bnsp"), 2 * ps * (na - ns)).alias(BNSP_AUC))
-    overall = totals.select(_ratio(F.col("s_all"), 2 * F.col("pa_tot") * F.col("na_tot")).alias("overall_auc"))
+        _ratio(F.col("s_sub"), _pairs(ps, ns)).alias(SUBGROUP_AUC),
+        _ratio(bpsn_num2, _pairs(pa - ps, ns)).alias(BPSN_AUC),
+        _ratio(F.col("s_bnsp"), _pairs(ps, na - ns)).alias(BNSP_AUC))
+    overall = totals.select(_ratio(F.col("s_all"), _pairs(F.col("pa_tot"), F.col("na_tot"))).alias("overall_auc"))
     return table, overall
 
 
