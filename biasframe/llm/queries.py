@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biasframe.llm import bpe, quality_model, secrets
+from biasframe.llm import bpe, mixing, quality_model, rules, secrets
 from biasframe.llm.common import remainder
 from biasframe.sources.tables import table
 
@@ -38,8 +38,19 @@ def encode_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def judge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+
+
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_quality_classifier": (classify_quality, None),
+    "op2_quality_rules": (judge_rules, lambda: rules.RULES_SQL),
     "op3_secret_scan": (scan_secrets, None),
+    "op5_mixing": (mix_sources, None),
     "op6_bpe": (encode_bpe, None),
 }
