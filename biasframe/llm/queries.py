@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biasframe.llm import bpe, mixing, quality_model, rules, secrets
-from biasframe.llm.common import remainder
+from biasframe.llm import bpe, mixing, quality_model, rules, secrets, sharding, warc
+from biasframe.llm.common import remainder, written
 from biasframe.sources.tables import table
 
+OLD_SHARDS, NEW_SHARDS = 6, 8
+
 
 def classify_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
@@ -47,10 +49,29 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def reshard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    laid = sharding.write_layout(docs, OLD_SHARDS, sharding.text_bytes(F.col("text")) + 1)
+    total = laid.agg(F.coalesce(F.sum("_rs_size"), F.lit(0))).first()[0]
+    shares = [total // NEW_SHARDS + (i < total % NEW_SHARDS) for i in range(NEW_SHARDS)]
+    rows = sharding.reshard(laid, shares).select(
+        "doc_id", (sharding.text_bytes(F.col("text")) + 1).alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "_rs_shard", "_rs_old", "_rs_block", "_rs_key")
+    placed = sharding.with_slots(written(rows, "resharded_rows"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_rs_shard").alias("shard"), "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_quality_classifier": (classify_quality, None),
     "op2_quality_rules": (judge_rules, lambda: rules.RULES_SQL),
     "op3_secret_scan": (scan_secrets, None),
     "op5_mixing": (mix_sources, None),
     "op6_bpe": (encode_bpe, None),
+    "op9_warc": (archive_pages, lambda: warc.WARC_SQL),
+    "op10_resharding": (reshard_documents, None),
 }
