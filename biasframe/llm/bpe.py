@@ -41,7 +41,7 @@ from biasframe.llm.common import append_columns
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 LEXICON_WORDS = 16384
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
 LONG_WORD = 48
 EMPTY, NONE, HASH = np.uint64(2**64 - 1), 2**62, np.uint64(0x9E3779B97F4A7C15)
 
@@ -258,7 +258,6 @@ class Codec:
         self.merger, self.lexicon = Merger(path), Lexicon(block)
         self.pieces = [self.merger.pieces.get(i, b"") for i in range(max(self.merger.pieces) + 1)]
         self.words = regex.compile(SPLIT).findall
-        self.odd = regex.compile(r"\s\s|\A\s|\s\Z|[^\S \n]").search
         self.marks = regex.compile("|".join(map(regex.escape, self.merger.special))) if self.merger.special else None
         self.memo: dict[str, tuple[int, ...]] = {}  # word -> ids
         self.bare: dict[str, tuple[int, ...]] = {}  # chunk at the start of a line -> ids
@@ -275,7 +274,13 @@ class Codec:
             for c in chunks - memo.keys():
                 ids = self.lexicon.find((head + c).encode())
                 if ids is None:
-                    split.append((memo, c, self.words(head + c)))
+                    if c.isascii() and c.isalpha():
+                        words = [head + c]
+                    elif c.isascii() and c[-1] in ".," and c[:-1].isalpha():
+                        words = [head + c[:-1], c[-1]]
+                    else:
+                        words = self.words(head + c)
+                    split.append((memo, c, words))
                 else:
                     memo[c] = ids
         self._learn_words({w for _, _, ws in split for w in ws})
@@ -290,11 +295,10 @@ class Codec:
     def _plain_all(self, texts: list[str]) -> list[list[int]]:
         plan, bare, spaced = [], set(), set()
         for t in texts:
-            if not t or self.odd(t):
-                words = self.words(t)
-                plan.append((words, None))
+            lines = [line.split(" ") for line in t.split("\n")]
+            if list(chain.from_iterable(lines)) != t.split():
+                plan.append((self.words(t), None))  # adjacent, outer or other white space
             else:
-                lines = [line.split(" ") for line in t.split("\n")]
                 for line in lines:
                     bare.add(line[0])
                     spaced.update(line[1:])
