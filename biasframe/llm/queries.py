@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biasframe.llm import bpe, mixing, quality_model, rules, secrets, sharding, warc
+from biasframe.llm import bpe, mixing, quality_model, rules, secrets, sharding, topk, warc
 from biasframe.llm.common import remainder, written
 from biasframe.sources.tables import table
 
@@ -66,12 +66,18 @@ def reshard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = written(topk.quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), "quantised")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 QUERIES = {
     "op1_quality_classifier": (classify_quality, None),
     "op2_quality_rules": (judge_rules, lambda: rules.RULES_SQL),
     "op3_secret_scan": (scan_secrets, None),
     "op5_mixing": (mix_sources, None),
     "op6_bpe": (encode_bpe, None),
+    "op7_top_k": (search_vectors, lambda: topk.TOP_K_SQL),
     "op9_warc": (archive_pages, lambda: warc.WARC_SQL),
     "op10_resharding": (reshard_documents, None),
 }

@@ -129,7 +129,7 @@ def reshard(laid: DataFrame, capacities: Sequence[int]) -> DataFrame:
     moves = plan_moves(laid, capacities)
     affected = written(moves.where("shard <> _rs_old").select(*_PLACE).distinct(), "affected")
     names = [c for c in laid.columns if c not in _PLACE]
-    goal = moves.join(affected, _PLACE)
+    goal = written(moves.join(affected, _PLACE), "affected_moves")
     moved = laid.join(goal, _PLACE).where(F.col("_rs_key").between(F.col("low"), F.col("high")))
     moved = moved.select(*names, *_PLACE, F.col("shard").alias("_rs_shard"))
     path = scratch(spark, "resharded")
