@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biasframe.llm import bpe, mixing, quality_model, rules, secrets, sharding, topk, warc
+import corpus_pipeline
+
+from biasframe.llm import bpe, mixing, near_dup, ngram_lm, quality_model, rules, secrets, sharding, topk, warc
 from biasframe.llm.common import remainder, written
 from biasframe.sources.tables import table
 
@@ -71,13 +73,24 @@ def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def group_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2, percent=80)
+
+
+def score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), remainder(F.col("doc_id"), 7) == 2)
+
+
 QUERIES = {
     "op1_quality_classifier": (classify_quality, None),
     "op2_quality_rules": (judge_rules, lambda: rules.RULES_SQL),
     "op3_secret_scan": (scan_secrets, None),
+    "op4_ngram_lm": (score_texts, None),
     "op5_mixing": (mix_sources, None),
     "op6_bpe": (encode_bpe, None),
     "op7_top_k": (search_vectors, lambda: topk.TOP_K_SQL),
+    "op8_near_duplicates": (group_near_duplicates, None),
     "op9_warc": (archive_pages, lambda: warc.WARC_SQL),
+    "pipeline": (corpus_pipeline.run, None if corpus_pipeline.ORACLE_SQL is None else lambda: corpus_pipeline.ORACLE_SQL),
     "op10_resharding": (reshard_documents, None),
 }
