@@ -3,11 +3,12 @@
 Each text becomes the set of its word shingles, as 64-bit hashes. Texts with
 equal sets share one class. Per class, minima under many hash functions give
 band keys and, by their low bits, a packed signature. Classes that share a band
-are candidates: each bucket first meets its smallest member; buckets that still
-hold several groups after that are compared by bit counts of the signatures, in
-chunks, where only pairs of different groups count. The collision-corrected
+are candidates: each bucket first meets its smallest member. The collision-corrected
 estimate drops hopeless pairs, and every other pair is confirmed on the full
-sets. Links become groups by repeated label exchange.
+sets. Links become groups by repeated label exchange. Families of candidates
+that still hold several groups are then compared in chunks, the members outside
+the main group with all others; links are confirmed in place, and only those
+that join groups are sent on.
 
 With the standard parameters a pair at the threshold shares no band with a
 probability of 2e-6; the estimate is cut six standard deviations below it.
@@ -36,7 +37,7 @@ from biasframe.llm.common import written
 
 BANDS, ROWS, BITS = 25, 4, 8
 CUT_SIGMAS = 6
-CHUNK = 512
+CHUNK = 256
 _U = np.uint64
 _ODD = np.random.RandomState(8).randint(1, 2**63, size=(2, BANDS * ROWS), dtype=np.int64).astype(_U) | _U(1)
 
@@ -130,10 +131,8 @@ def groups(links: DataFrame, nodes: DataFrame) -> DataFrame:
             return label
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets pass the threshold. Only the texts that
-    occur in a pair are read into sets; no set of other texts is kept."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def full_sets(docs: DataFrame, ids: DataFrame, width: int, name: str) -> DataFrame:
+    """id, full: the sorted shingle hashes of the texts whose id is in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,7 +142,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "full"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    sets = written(texts.mapInArrow(run, "id long, full binary").dropDuplicates(["id"]), "full_sets")
+    return written(texts.mapInArrow(run, "id long, full binary").dropDuplicates(["id"]), name)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets pass the threshold. Only the texts that
+    occur in a pair are read into sets; no set of other texts is kept."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = full_sets(docs, ids, width, "pair_sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,27 +165,45 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return written(both.select("a", "b", "fa", "fb").mapInArrow(check, "a long, b long"), "confirmed")
 
 
-def _near_pairs(least: int):
-    """Pairs of two chunks of a bucket, in different groups, whose signatures
-    agree in ``least`` places at least; per member of the first chunk and group
-    of the other, all such pairs."""
+def _links_between(least: int, percent: int):
+    """Links between the groups of two chunks, confirmed on the full sets in
+    place: of all links only those that join two groups not yet joined here, so
+    a unit sends on fewer rows than it has members, however many pairs pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for unit in pdf.to_dict("records"):
                 x, y = unit["left"], unit["right"]
-                xi, yi = np.array([m["id"] for m in x]), np.array([m["id"] for m in y])
-                xg, yg = np.array([m["group"] for m in x]), np.array([m["group"] for m in y])
-                xs, ys = (np.frombuffer(b"".join(m["signature"] for m in z), np.uint8).reshape(len(z), -1) for z in (x, y))
-                for i in range(len(xi)):
-                    same = np.count_nonzero(ys == xs[i], axis=1)
-                    hit = (same >= least) & (yg != xg[i])
-                    if hit.any():
-                        yield pd.DataFrame({"a": np.minimum(xi[i], yi[hit]), "b": np.maximum(xi[i], yi[hit])})
+                ids, number = np.array([m["id"] for m in y]), {}
+                group = np.array([number.setdefault(m["group"], len(number)) for m in y])
+                signs = np.frombuffer(b"".join(m["signature"] for m in y), np.uint8).reshape(len(y), -1)
+                sets = [np.frombuffer(m["full"], _U) for m in y]
+                size = np.array([len(s) for s in sets])
+                for m in x:
+                    own = number.setdefault(m["group"], len(number))
+                    agree = np.count_nonzero(signs == np.frombuffer(m["signature"], np.uint8), axis=1) >= least
+                    full = np.frombuffer(m["full"], _U)
+                    for g in np.unique(group[agree & (group != own)]):
+                        at = np.flatnonzero(agree & (group == g))
+                        every = np.concatenate([sets[k] for k in at])
+                        place = np.minimum(np.searchsorted(full, every), len(full) - 1)
+                        same = np.add.reduceat((full[place] == every).astype(np.int64), np.cumsum(size[at]) - size[at])
+                        hit = np.flatnonzero(100 * same >= percent * (len(full) + size[at] - same))
+                        if len(hit):
+                            other = int(ids[at[hit[0]]])
+                            yield pd.DataFrame({"a": [min(m["id"], other)], "b": [max(m["id"], other)]})
+                            group[group == g] = own
+                            number = {k: own if v == g else v for k, v in number.items()}
 
     return run
 
 
+def _linked_groups(links: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """id, group for all nodes; those without a link are their own group."""
+    linked = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    return written(nodes.join(groups(links, linked), "id", "left").select("id", F.coalesce("group", "id").alias("group")), name)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     least = least_matches(percent / 100)
@@ -187,41 +211,44 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = made.where("digest is not null and doc_id is not null").groupBy("digest").agg(
         F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     classes = written(classes, "classes")
-    members = classes.select("id", "signature", F.posexplode("bands").alias("band", "key"))
-    sizes = members.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = written(sizes, "buckets")
-    bucketed = written(members.join(sizes, ["band", "key"]).select("band", "key", "pivot", "id"), "bucketed")
+    nodes, signature = classes.select("id"), classes.select("id", "signature")
+    members = classes.select("id", F.posexplode("bands").alias("band", "key"))
+    buckets = members.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = written(buckets.select("band", "key", "pivot"), "buckets")
+    bucketed = written(members.join(buckets, ["band", "key"]).where("pivot <> id"), "bucketed")
     # every bucket meets its least member: one pair per member, whatever its size
-    signature = classes.select("id", "signature")
-    star = bucketed.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    star = bucketed.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(signature.withColumnsRenamed({"id": "a", "signature": "sa"}), "a").join(signature.withColumnsRenamed({"id": "b", "signature": "sb"}), "b")
     agree = F.aggregate(F.sequence(F.lit(1), F.lit(BANDS * ROWS)), F.lit(0),
                         lambda n, i: n + (F.col("sa").substr(i, F.lit(1)) == F.col("sb").substr(i, F.lit(1))).cast("int"))
-    tested = written(star.where(agree >= least).select("a", "b"), "star_pairs")
+    star = written(star.select("a", "b", (agree >= least).alias("near")), "star_pairs")
+    tested = star.where("near").select("a", "b")
     links = confirmed(tested, docs, width, percent)
-    nodes = classes.select("id")
-    linked = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    label = written(nodes.join(groups(links, linked), "id", "left").select("id", F.coalesce("group", "id").alias("group")), "first_groups")
-    # buckets that hold several groups: the members outside the pivot's group meet all others
-    grouped = bucketed.join(label, "id").join(label.withColumnsRenamed({"id": "pivot", "group": "main"}), "pivot")
-    mixed_buckets = grouped.groupBy("band", "key").agg(F.count(F.when(F.col("group") != F.col("main"), 1)).alias("others"),
-                                                     F.count(F.lit(1)).alias("n")).where("others > 0 and n > 2")
-    mixed_buckets = written(mixed_buckets.select("band", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "mixed_buckets")
-    open_ = grouped.join(mixed_buckets, ["band", "key"]).join(signature, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    member = F.struct("id", "group", "signature")
-    chunks = open_.groupBy("band", "key", "chunks", "chunk").agg(
-        F.collect_list(F.when((F.col("group") != F.col("main")), member)).alias("left"), F.collect_list(member).alias("right"))
-    chunks = written(chunks, "chunks")
-    left = chunks.where(F.size("left") > 0).select("band", "key", "left", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    units = left.join(chunks.select("band", "key", "chunk", "right"), ["band", "key", "chunk"])
-    found = units.select("left", "right").mapInPandas(_near_pairs(least), "a long, b long").distinct()
-    rest = written(found.join(tested, ["a", "b"], "left_anti"), "other_pairs")
-    if rest.limit(1).count():
-        more = confirmed(rest, docs, width, percent)
+    label = _linked_groups(links, nodes, "first_groups")
+    # families: what may still be linked. Members near their pivot belong to it;
+    # members of a bucket that are not may be near each other, and stay together
+    far = bucketed.join(star.where("not near").select(F.col("a").alias("pivot"), F.col("b").alias("id")), ["pivot", "id"])
+    second = far.groupBy("band", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    loose = far.join(second, ["band", "key"]).where("a <> id").select("a", F.col("id").alias("b"))
+    family = _linked_groups(written(tested.unionByName(loose).distinct(), "family_links"), nodes, "families")
+    family = family.withColumnRenamed("group", "family").join(label, "id")
+    mixed_families = family.groupBy("family").agg(F.min("group").alias("_low"), F.max("group").alias("_high"), F.min("id").alias("_first"),
+                                                  F.count(F.lit(1)).alias("_n")).where("_low <> _high")
+    largest = family.groupBy("family", "group").agg(F.count(F.lit(1)).alias("_m")).groupBy("family").agg(F.max_by("group", F.struct("_m", "group")).alias("main"))
+    open_ = family.join(mixed_families.select("family", F.ceil(F.col("_n") / CHUNK).cast("int").alias("chunks")), "family").join(largest, "family")
+    open_ = written(open_, "open_members")
+    if open_.limit(1).count():
+        sets = full_sets(docs, open_.select("id"), width, "family_sets")
+        whole = open_.join(signature, "id").join(sets, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        member = F.struct("id", "group", "signature", "full")
+        whole = written(whole, "family_members")
+        right = whole.groupBy("family", "chunk").agg(F.collect_list(member).alias("right"))
+        left = whole.where(F.col("group") != F.col("main")).groupBy("family", "chunks", "chunk").agg(F.collect_list(member).alias("left"))
+        left = left.select("family", "left", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        units = left.join(right, ["family", "chunk"]).select("left", "right")
+        more = written(units.mapInPandas(_links_between(least, percent), "a long, b long").distinct(), "other_links")
         if more.limit(1).count():
-            links = written(links.unionByName(more).distinct(), "all_links")
-            linked = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-            label = written(nodes.join(groups(links, linked), "id", "left").select("id", F.coalesce("group", "id").alias("group")), "all_groups")
+            label = _linked_groups(written(links.unionByName(more).distinct(), "all_links"), nodes, "all_groups")
     by_set = classes.select("digest", "id").join(label, "id").select("digest", F.col("group").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return made.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left").select(
