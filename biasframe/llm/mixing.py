@@ -108,7 +108,7 @@ def mix(docs: DataFrame, seed: int = 11, limit: int = LIMIT) -> DataFrame:
     sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"),
                                 F.xxhash64("doc_id", "source", "text").alias("_key")), "sizes")
     wanted = targets(sizes, limit=limit)
-    share = F.col("target") / F.col("source_size")
+    share = F.try_divide(F.col("target"), F.col("source_size"))
     goal = wanted.select(F.col("source").alias("_of"), F.floor(share).alias("_whole"), (share - F.floor(share)).alias("_part"))
     planned = sizes.join(goal, F.col("source").eqNullSafe(F.col("_of")), "left").select(
         "source", "doc_id", "size", "_key", (F.col("_part") * F.col("size")).alias("mass"))

@@ -11,7 +11,7 @@ the main group with all others; links are confirmed in place, and only those
 that join groups are sent on.
 
 With the standard parameters a pair at the threshold shares no band with a
-probability of 2e-6; the estimate is cut six standard deviations below it.
+probability of 2e-6 (33 bands of five); the estimate is cut six standard deviations below it.
 
 Defined cases: null texts, empty texts and texts without words have empty sets
 and are linked with nothing; texts with fewer words than a shingle are one
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from biasframe.llm.common import written
 
-BANDS, ROWS, BITS = 25, 4, 8
+BANDS, ROWS, BITS = 33, 5, 8
 CUT_SIGMAS = 6
 CHUNK = 256
 _U = np.uint64

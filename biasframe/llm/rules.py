@@ -64,10 +64,10 @@ def base_failed() -> Column:
 
 
 def _values() -> list[Column]:
-    return [F.expr("1000000 * n_symbols div word_chars").alias("symbols_ppm"),
-            F.expr("1000000 * n_dup_lines div n_lines").alias("dup_lines_ppm"),
-            F.expr("1000000 * n_repeat_words div n_words").alias("repeats_ppm"),
-            F.expr("1000 * word_chars div n_words").alias("word_milli")]
+    return [F.expr("1000000 * n_symbols div nullif(word_chars, 0)").alias("symbols_ppm"),
+            F.expr("1000000 * n_dup_lines div nullif(n_lines, 0)").alias("dup_lines_ppm"),
+            F.expr("1000000 * n_repeat_words div nullif(n_words, 0)").alias("repeats_ppm"),
+            F.expr("1000 * word_chars div nullif(n_words, 0)").alias("word_milli")]
 
 
 def cell(value: Column) -> Column:
