@@ -170,8 +170,10 @@ def overall_auc(df: DataFrame, score: Column | str, label: Column | str,
 # ------------------------------------------------------------ quality metrics
 def accuracy(df: DataFrame, pred: Column | str, label: Column | str, name: str = "accuracy") -> DataFrame:
     """Share of rows whose prediction equals the label; for array
-    columns (label matrices) the whole array must match."""
-    return df.agg(F.avg((_c(pred) == _c(label)).cast("double")).alias(name))
+    columns (label matrices) the whole array must match. A missing prediction
+    of a labelled row is wrong; rows without a label do not count."""
+    right = F.when(_c(label).isNotNull(), F.coalesce(_c(pred) == _c(label), F.lit(False)))
+    return df.agg(F.avg(right.cast("double")).alias(name))
 
 
 def confusion(df: DataFrame, pred: Column | str, label: Column | str) -> DataFrame:

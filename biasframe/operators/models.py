@@ -27,9 +27,11 @@ def with_vector(df: DataFrame, array_col: str, out: str = "features") -> DataFra
 
 def train_forest(df: DataFrame, label: str, features: str = "features", num_trees: int = 100,
                  max_depth: int = 10, seed: int = 0, weight: str | None = None, **params):
-    """L1: random forest for one 0/1 label (Spark caps the depth at 30)."""
+    """L1: random forest for one 0/1 label (Spark allows depths up to 30)."""
+    if max_depth > 30:
+        raise ValueError("Spark's trees have a depth of at most 30")
     rf = RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=num_trees,
-                                maxDepth=min(max_depth, 30), seed=seed, **params)
+                                maxDepth=max_depth, seed=seed, **params)
     if weight:
         rf = rf.setWeightCol(weight)
     return rf.fit(df)

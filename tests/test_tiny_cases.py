@@ -141,3 +141,15 @@ def test_java_whitespace_class_is_python_isspace(spark):
     df = spark.createDataFrame([(i, ch) for i, ch in enumerate(chars)], "i int, ch string")
     got = {r["i"]: r["m"] for r in df.select("i", F.col("ch").rlike("(?U)^" + X.JAVA_WS + "$").alias("m")).collect()}
     assert all(got[i] == ch.isspace() for i, ch in enumerate(chars))
+
+
+def test_missing_prediction_counts_as_wrong(spark):
+    from biasframe.operators import metrics
+    df = spark.createDataFrame([(1, 1), (None, 1), (0, 0), (1, None)], "p int, y int")
+    assert metrics.accuracy(df, "p", "y").first()[0] == pytest.approx(2 / 3)
+
+
+def test_forest_depth_beyond_the_limit_raises(spark):
+    from biasframe.operators import models
+    with pytest.raises(ValueError):
+        models.train_forest(spark.range(1), "id", max_depth=31)
