@@ -4,8 +4,9 @@ Each text becomes the set of its word shingles, as 64-bit hashes. Texts with
 equal sets share one class. Per class, minima under many hash functions give
 band keys and, by their low bits, a packed signature. Classes that share a band
 are candidates: each bucket first meets its smallest member. The collision-corrected
-estimate drops hopeless pairs, and every other pair is confirmed on the full
-sets. Links become groups by repeated label exchange. Families of candidates
+estimate drops hopeless pairs; of the others each member's most alike is
+confirmed on the full sets, then every pair that this leaves in two groups.
+Links become groups by repeated label exchange. Families of candidates
 that still hold several groups are then compared in chunks, the members outside
 the main group with all others; links are confirmed in place, and only those
 that join groups are sent on.
@@ -30,8 +31,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from biasframe.llm.common import written
 
@@ -131,38 +133,79 @@ def groups(links: DataFrame, nodes: DataFrame) -> DataFrame:
             return label
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, width: int, name: str) -> DataFrame:
-    """id, full: the sorted shingle hashes of the texts whose id is in ``ids``."""
+def bloom(id_: Column, words: Column) -> tuple[Column, Column]:
+    """The word of a blocked Bloom filter that an id falls into, and its three bits."""
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(id_, F.lit(k)), F.lit(64)).cast("int")) for k in (1, 2, 3)]
+    return F.pmod(F.xxhash64(id_), words), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text: one whole text of each document whose id is in ``ids`` (distinct).
+
+    A Bloom filter of two bytes an id, a written table that the planner
+    broadcasts if it is small enough, leaves other texts out of the shuffle; its
+    false hits go in the join that follows."""
+    ids = written(ids, "text_ids")
+    words = F.lit(max(1, ids.count() // 4)).cast("long")
+    word, bits = bloom(F.col("id"), words)
+    sieve = written(ids.groupBy(word.alias("word")).agg(F.bit_or(bits).alias("bits")), "text_sieve")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = texts.join(sieve, (word == F.col("word")) & (F.col("bits").bitwiseAND(bits) == bits), "left_semi")
+    return texts.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                sets = shingle_sets(part.column(1).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "full"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return written(texts.mapInArrow(run, "id long, full binary").dropDuplicates(["id"]), name)
+def ends(pairs: DataFrame) -> DataFrame:
+    """id: every id that occurs in a pair (a, b)."""
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets pass the threshold. Only the texts that
-    occur in a pair are read into sets; no set of other texts is kept."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = full_sets(docs, ids, width, "pair_sets")
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets pass the threshold.
+
+    Rows are dealt by (a, chunk of its partners) and sorted so that the text of
+    ``a`` comes first: a task holds one set of it and streams the others past.
+    The partners of a much-used ``a`` are spread over many chunks."""
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
+    heads = chunks.select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    heads = heads.join(texts, "id").select(F.col("id").alias("a"), "chunk", F.lit(None).cast("long").alias("b"), "text")
+    rest = dealt.withColumnRenamed("b", "id").join(texts, "id").select("a", "chunk", F.col("id").alias("b"), "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.zeros(0, _U)
+        for b in batches:
+            left, right = [], []
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = shingle_sets(part.column(2).to_pylist(), width)
+                for x, y, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets):
+                    if y is None:
+                        first = s
+                        continue
+                    same = len(np.intersect1d(first, s, assume_unique=True))
+                    if 100 * same >= percent * (len(first) + len(s) - same):
+                        left.append(x), right.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    streams = heads.unionByName(rest).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    return written(streams.select("a", "b", "text").mapInArrow(check, "a long, b long"), "confirmed")
+
+
+def with_sets(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``members`` and full: the sorted shingle hashes of their whole texts."""
+    both = members.join(texts, "id")
+    columns, at = members.columns, both.columns.index("text")
+    places = [both.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                sets = shingle_sets(part.column(at).to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in places], pa.array([s.tobytes() for s in sets], pa.binary())],
+                                                 names=[*columns, "full"])
 
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b")
-    return written(both.select("a", "b", "fa", "fb").mapInArrow(check, "a long, b long"), "confirmed")
+    return both.mapInArrow(run, T.StructType([*[members.schema[c] for c in columns], T.StructField("full", T.BinaryType())]))
 
 
 def _links_between(least: int, percent: int):
@@ -198,10 +241,16 @@ def _links_between(least: int, percent: int):
     return run
 
 
-def _linked_groups(links: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """id, group for all nodes; those without a link are their own group."""
-    linked = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    return written(nodes.join(groups(links, linked), "id", "left").select("id", F.coalesce("group", "id").alias("group")), name)
+def merged(label: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """id, group after the groups that ``links`` (a, b: ids) joins become one.
+    Only the links between different groups are followed."""
+    for end in ("a", "b"):
+        links = links.join(label.withColumnsRenamed({"id": end, "group": f"_{end}"}), end)
+    between = written(links.where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "between")
+    if not between.limit(1).count():
+        return label
+    up = groups(between, ends(between)).select(F.col("group").alias("_new"), F.col("id").alias("group"))
+    return written(label.join(up, "group", "left").select("id", F.coalesce("_new", "group").alias("group")), name)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -221,16 +270,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     star = star.join(signature.withColumnsRenamed({"id": "a", "signature": "sa"}), "a").join(signature.withColumnsRenamed({"id": "b", "signature": "sb"}), "b")
     agree = F.aggregate(F.sequence(F.lit(1), F.lit(BANDS * ROWS)), F.lit(0),
                         lambda n, i: n + (F.col("sa").substr(i, F.lit(1)) == F.col("sb").substr(i, F.lit(1))).cast("int"))
-    star = written(star.select("a", "b", (agree >= least).alias("near")), "star_pairs")
+    star = written(star.select("a", "b", agree.alias("agree"), (agree >= least).alias("near")), "star_pairs")
     tested = star.where("near").select("a", "b")
-    links = confirmed(tested, docs, width, percent)
-    label = _linked_groups(links, nodes, "first_groups")
     # families: what may still be linked. Members near their pivot belong to it;
     # members of a bucket that are not may be near each other, and stay together
     far = bucketed.join(star.where("not near").select(F.col("a").alias("pivot"), F.col("b").alias("id")), ["pivot", "id"])
     second = far.groupBy("band", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     loose = far.join(second, ["band", "key"]).where("a <> id").select("a", F.col("id").alias("b"))
-    family = _linked_groups(written(tested.unionByName(loose).distinct(), "family_links"), nodes, "families")
+    related = written(tested.unionByName(loose).distinct(), "family_links")
+    texts = written(texts_of(docs, ends(related)), "texts")
+    # the most alike partner of each first; then those pairs that are still in two groups
+    best = star.where("near").groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
+    label = merged(nodes.select("id", F.col("id").alias("group")), confirmed(best, texts, width, percent), "first_groups")
+    apart = tested.join(best, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        apart = apart.join(label.withColumnsRenamed({"id": end, "group": f"g{end}"}), end)
+    apart = written(apart.where("ga <> gb").select("a", "b"), "pairs_apart")
+    label = merged(label, confirmed(apart, texts, width, percent), "star_groups")
+    family = merged(label, related, "families")
     family = family.withColumnRenamed("group", "family").join(label, "id")
     mixed_families = family.groupBy("family").agg(F.min("group").alias("_low"), F.max("group").alias("_high"), F.min("id").alias("_first"),
                                                   F.count(F.lit(1)).alias("_n")).where("_low <> _high")
@@ -238,17 +295,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     open_ = family.join(mixed_families.select("family", F.ceil(F.col("_n") / CHUNK).cast("int").alias("chunks")), "family").join(largest, "family")
     open_ = written(open_, "open_members")
     if open_.limit(1).count():
-        sets = full_sets(docs, open_.select("id"), width, "family_sets")
-        whole = open_.join(signature, "id").join(sets, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        whole = open_.join(signature, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         member = F.struct("id", "group", "signature", "full")
-        whole = written(whole, "family_members")
+        whole = written(with_sets(whole, texts, width), "family_members")
         right = whole.groupBy("family", "chunk").agg(F.collect_list(member).alias("right"))
         left = whole.where(F.col("group") != F.col("main")).groupBy("family", "chunks", "chunk").agg(F.collect_list(member).alias("left"))
         left = left.select("family", "left", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
         units = left.join(right, ["family", "chunk"]).select("left", "right")
         more = written(units.mapInPandas(_links_between(least, percent), "a long, b long").distinct(), "other_links")
-        if more.limit(1).count():
-            label = _linked_groups(written(links.unionByName(more).distinct(), "all_links"), nodes, "all_groups")
+        label = merged(label, more, "all_groups")
     by_set = classes.select("digest", "id").join(label, "id").select("digest", F.col("group").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return made.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left").select(
