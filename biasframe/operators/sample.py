@@ -1,12 +1,13 @@
 """Sampling and splits (H1-H8).
 
-Randomness comes from an integer hash of the row key, so a row's fate does
-not depend on partitioning or on task retries (``rand()`` does), and the same
-split can be written in SQL:
+Randomness comes from a hash of the row key, so a row's fate does not depend
+on partitioning or on task retries (``rand()`` does), and the same split can be
+written in SQL. Each operator has its own salt and each seed its own hashes, so
+a sample says nothing about a later split of it:
 
-    hash = ((id + seed) % 2^31) * 2654435761 % 2^32        (in [0, 2^32))
+    hash = first 8 hex digits of md5("salt:seed:id")        (in [0, 2^32))
 
-(the inner modulus keeps the product inside BIGINT under ANSI overflow checks).
+A row without an id hashes as "salt:seed".
 """
 
 from __future__ import annotations
@@ -17,34 +18,31 @@ from pyspark.sql import functions as F
 from biasframe.functions.labels import above, below
 from biasframe.operators.ordering import attach_row, dense_index
 
-# --- fixed values ------------------------------------------------------------
-HASH_MULTIPLIER = 2654435761   # Knuth's multiplicative hash constant
-TWO_31 = 2147483648
 TWO_32 = 4294967296
-# --- end of fixed values -----------------------------------------------------
 
 
-def row_hash(id_col: str = "id", seed: int = 0) -> Column:
-    return ((F.col(id_col) + F.lit(seed)) % TWO_31) * F.lit(HASH_MULTIPLIER) % TWO_32
+def row_hash(salt: str, id_col: str = "id", seed: int = 0) -> Column:
+    key = F.concat_ws(":", F.lit(salt), F.lit(str(seed)), F.col(id_col).cast("string"))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def row_hash_sql(id_col: str = "id", seed: int = 0) -> str:
-    return f"((({id_col} + {seed}) % {TWO_31}) * {HASH_MULTIPLIER}) % {TWO_32}"
+def row_hash_sql(salt: str, id_col: str = "id", seed: int = 0) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{salt}', '{seed}', CAST({id_col} AS VARCHAR))), 1, 8) AS BIGINT)"
 
 
 def shuffle(df: DataFrame, id_col: str = "id", seed: int = 0) -> DataFrame:
     """H1: all rows in a seeded pseudo-random order (a distributed sort)."""
-    return df.orderBy(row_hash(id_col, seed), F.col(id_col))
+    return df.orderBy(row_hash("shuffle", id_col, seed), F.col(id_col))
 
 
 def sample_n(df: DataFrame, n: int, id_col: str = "id", seed: int = 0) -> DataFrame:
     """H2: exactly ``min(n, rows)`` rows (per-partition top-n, then merge)."""
-    return df.orderBy(row_hash(id_col, seed), F.col(id_col)).limit(n)
+    return df.orderBy(row_hash("sample", id_col, seed), F.col(id_col)).limit(n)
 
 
 def split_flag(fraction: float, id_col: str = "id", seed: int = 0) -> Column:
     """H3: true for the held-out ``fraction`` of rows."""
-    return row_hash(id_col, seed) < F.lit(int(fraction * TWO_32))
+    return row_hash("split", id_col, seed) < F.lit(int(fraction * TWO_32))
 
 
 def train_test_split(df: DataFrame, test_fraction: float, id_col: str = "id",
@@ -60,8 +58,8 @@ def balanced_sample(df: DataFrame, n: int, label: str = "target", toxic_share: f
     (label < 0.5); rows equal to 0.5 are skipped. Each class is a bounded
     top-k by hash, so no class is gathered into one task."""
     k = int(n * toxic_share)
-    tox = df.where(above(label, 0.5)).orderBy(row_hash(id_col, seed), F.col(id_col)).limit(k)
-    non = df.where(below(label, 0.5)).orderBy(row_hash(id_col, seed), F.col(id_col)).limit(k)
+    tox = df.where(above(label, 0.5)).orderBy(row_hash("balanced", id_col, seed), F.col(id_col)).limit(k)
+    non = df.where(below(label, 0.5)).orderBy(row_hash("balanced", id_col, seed), F.col(id_col)).limit(k)
     return tox.unionByName(non)
 
 
@@ -76,7 +74,7 @@ def holdout_last(df: DataFrame, fraction: float, order: list[str] | None = None)
 
 def fold_column(k: int, id_col: str = "id", seed: int = 0) -> Column:
     """H6: fold number 0..k-1 for k-fold cross-validation."""
-    return (row_hash(id_col, seed) % k).cast("int")
+    return (row_hash("folds", id_col, seed) % k).cast("int")
 
 
 def sample_like(train: DataFrame, other: DataFrame, id_col: str = "id", seed: int = 0) -> DataFrame:
@@ -84,5 +82,5 @@ def sample_like(train: DataFrame, other: DataFrame, id_col: str = "id", seed: in
     count is a one-row aggregate attached to the ranked rows; no driver
     round trip."""
     n_other = other.agg(F.count(F.lit(1)).alias("_want"))
-    ranked = dense_index(train, [row_hash(id_col, seed), F.col(id_col)], name="_pos")
+    ranked = dense_index(train, [row_hash("like", id_col, seed), F.col(id_col)], name="_pos")
     return attach_row(ranked, n_other).where(F.col("_pos") < F.col("_want")).drop("_pos", "_want")

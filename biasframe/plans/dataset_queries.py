@@ -13,9 +13,6 @@ from biasframe.schema import IDENTITY_COLUMNS, TOXICITY_PROJECTION
 from biasframe.sources.comments import comments, with_comments
 from biasframe.sources.tables import table
 
-HS = H.row_hash_sql("id")
-
-
 def _proj_sql(prefix: str = "") -> str:
     return ", ".join(f"{prefix}{c}" for c in TOXICITY_PROJECTION)
 
@@ -57,6 +54,41 @@ r AS (SELECT id, removed, coalesce(sum(removed) OVER (ORDER BY id ROWS BETWEEN U
 SELECT id, CAST(nb AS BIGINT) AS n_removed_before FROM r WHERE removed = 0""")
 
 
+def _some_null(spark, sf_dir):
+    return comments(spark, sf_dir).withColumn("comment_text", F.when(F.col("id") % 7 != 0, F.col("comment_text")))
+
+
+NULL_TEXTS = "c AS (SELECT * REPLACE (CASE WHEN id % 7 <> 0 THEN comment_text END AS comment_text) FROM comments)"
+SAME_TEXT = "PARTITION BY comment_text, CASE WHEN comment_text IS NULL THEN id END"
+
+
+def null_text_duplicates(spark, sf_dir):
+    return D.find_duplicates(_some_null(spark, sf_dir)).select("id")
+
+
+def null_text_duplicates_sql():
+    return with_comments(f"WITH {NULL_TEXTS} SELECT id FROM c QUALIFY count(*) OVER ({SAME_TEXT}) > 1")
+
+
+def null_text_collapse(spark, sf_dir):
+    return D.collapse_duplicates(_some_null(spark, sf_dir)).select("id")
+
+
+def null_text_collapse_sql():
+    return with_comments(f"WITH {NULL_TEXTS} SELECT id FROM c QUALIFY id = min(id) OVER ({SAME_TEXT})")
+
+
+def null_text_removed(spark, sf_dir):
+    return D.removed_before(_some_null(spark, sf_dir))
+
+
+def null_text_removed_sql():
+    return with_comments(f"""WITH {NULL_TEXTS},
+f AS (SELECT id, CASE WHEN id <> min(id) OVER ({SAME_TEXT}) THEN 1 ELSE 0 END AS removed FROM c),
+r AS (SELECT id, removed, coalesce(sum(removed) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM f)
+SELECT id, CAST(nb AS BIGINT) AS n_removed_before FROM r WHERE removed = 0""")
+
+
 def tagged(spark, sf_dir):
     return P.tagged_rows(comments(spark, sf_dir))
 
@@ -108,11 +140,11 @@ def attach_predictions_sql():
 # ------------------------------------------------------------------ H queries
 def shuffled(spark, sf_dir):
     df = comments(spark, sf_dir).select("id")
-    return dense_index(df, [H.row_hash("id"), F.col("id")], name="position")
+    return dense_index(df, [H.row_hash("shuffle"), F.col("id")], name="position")
 
 
 def shuffled_sql():
-    return with_comments(f"SELECT id, row_number() OVER (ORDER BY {HS}, id) - 1 AS position FROM comments")
+    return with_comments(f"SELECT id, row_number() OVER (ORDER BY {H.row_hash_sql('shuffle')}, id) - 1 AS position FROM comments")
 
 
 def sample_n(spark, sf_dir):
@@ -120,7 +152,18 @@ def sample_n(spark, sf_dir):
 
 
 def sample_n_sql():
-    return with_comments(f"SELECT id, lang FROM comments ORDER BY {HS}, id LIMIT 100")
+    return with_comments(f"SELECT id, lang FROM comments ORDER BY {H.row_hash_sql('sample')}, id LIMIT 100")
+
+
+def sample_then_split(spark, sf_dir):
+    """H2 then H3: half of a sample's rows is held out, whatever the sample."""
+    sample = H.sample_n(comments(spark, sf_dir).select("id"), 200)
+    return sample.select("id", H.split_flag(0.5).alias("is_test"))
+
+
+def sample_then_split_sql():
+    return with_comments(f"SELECT id, {H.row_hash_sql('split')} < {int(0.5 * H.TWO_32)} AS is_test FROM "
+                         f"(SELECT id FROM comments ORDER BY {H.row_hash_sql('sample')}, id LIMIT 200)")
 
 
 def split(spark, sf_dir):
@@ -128,7 +171,7 @@ def split(spark, sf_dir):
 
 
 def split_sql():
-    return with_comments(f"SELECT id, {HS} < {int(0.3 * H.TWO_32)} AS is_test FROM comments")
+    return with_comments(f"SELECT id, {H.row_hash_sql('split')} < {int(0.3 * H.TWO_32)} AS is_test FROM comments")
 
 
 def balanced(spark, sf_dir):
@@ -137,9 +180,9 @@ def balanced(spark, sf_dir):
 
 def balanced_sql():
     return with_comments(f"""
-(SELECT id, target FROM comments WHERE target > 0.5e0 ORDER BY {HS}, id LIMIT 100)
+(SELECT id, target FROM comments WHERE target > 0.5e0 ORDER BY {H.row_hash_sql('balanced')}, id LIMIT 100)
 UNION ALL
-(SELECT id, target FROM comments WHERE target < 0.5e0 ORDER BY {HS}, id LIMIT 100)""")
+(SELECT id, target FROM comments WHERE target < 0.5e0 ORDER BY {H.row_hash_sql('balanced')}, id LIMIT 100)""")
 
 
 def holdout(spark, sf_dir):
@@ -156,7 +199,7 @@ def folds(spark, sf_dir):
 
 
 def folds_sql():
-    return with_comments(f"SELECT id, CAST({HS} % 3 AS INTEGER) AS fold FROM comments")
+    return with_comments(f"SELECT id, CAST({H.row_hash_sql('folds')} % 3 AS INTEGER) AS fold FROM comments")
 
 
 def sample_like(spark, sf_dir):
@@ -167,7 +210,7 @@ def sample_like(spark, sf_dir):
 
 
 def sample_like_sql():
-    h = H.row_hash_sql("d.doc_id")
+    h = H.row_hash_sql("like", "d.doc_id")
     return (f"SELECT id, lang FROM (SELECT d.doc_id AS id, d.lang, row_number() OVER (ORDER BY {h}, d.doc_id) - 1 AS pos "
             "FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)) "
             "WHERE pos < (SELECT count(*) FROM labels)")
@@ -186,7 +229,7 @@ def split_tables_sql():
     from biasframe.schema import SCORED_IDENTITIES
     cols = ", ".join(f"coalesce({c} >= 0.5e0, false) AS {c}" for c in SCORED_IDENTITIES)
     return with_comments(f"SELECT id, comment_text, coalesce(target >= 0.5e0, false) AS target, {cols} "
-                         f"FROM comments WHERE target IS NOT NULL AND {HS} < {int(0.2 * H.TWO_32)}")
+                         f"FROM comments WHERE target IS NOT NULL AND {H.row_hash_sql('split')} < {int(0.2 * H.TWO_32)}")
 
 
 QUERIES = {
@@ -194,6 +237,9 @@ QUERIES = {
     "j1_find_duplicates": (find_duplicates, find_duplicates_sql),
     "j2_collapse_duplicates": (collapse, collapse_sql),
     "j3_removed_before": (removed_before, removed_before_sql),
+    "j1_null_texts": (null_text_duplicates, null_text_duplicates_sql),
+    "j2_null_texts": (null_text_collapse, null_text_collapse_sql),
+    "j3_null_texts": (null_text_removed, null_text_removed_sql),
     "j4_j5_tagged_rows": (tagged, tagged_sql),
     "j6_untagged_rows": (untagged, untagged_sql),
     "j7_toxicity_projection": (projection, projection_sql),
@@ -201,6 +247,7 @@ QUERIES = {
     "j10_attach_predictions": (attach_predictions, attach_predictions_sql),
     "h1_shuffle": (shuffled, shuffled_sql),
     "h2_sample_n": (sample_n, sample_n_sql),
+    "h2_h3_sample_then_split": (sample_then_split, sample_then_split_sql),
     "h3_split": (split, split_sql),
     "h4_balanced_sample": (balanced, balanced_sql),
     "h5_holdout_last": (holdout, holdout_sql),

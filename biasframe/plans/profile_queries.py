@@ -23,9 +23,9 @@ RULE_COLUMNS = ["target", *SCORED_IDENTITIES, *SUBTYPE_COLUMNS, "rating",
                 "toxicity_annotator_count", "identity_annotator_count", "article_id"]
 
 
-def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filled(spark: SparkSession, sf_dir: str, with_time: bool = False) -> DataFrame:
     """The notebook's ``fillna(0.0)`` on numeric columns."""
-    return N.fill_numeric(comments(spark, sf_dir), 0.0)
+    return N.fill_numeric(comments(spark, sf_dir, with_time), 0.0)
 
 
 def _ge(c: str, t: str = "0.5e0") -> str:
@@ -136,7 +136,7 @@ def softmax_sql():
 
 
 def hour(spark, sf_dir):
-    return comments(spark, sf_dir).select("id", L.hour_decimal("created_date").alias("hour"))
+    return comments(spark, sf_dir, with_time=True).select("id", L.hour_decimal("created_date").alias("hour"))
 
 
 def hour_sql():
@@ -395,7 +395,7 @@ def hist_length_sql():
 
 
 def hist_hour(spark, sf_dir):
-    return E.histogram(comments(spark, sf_dir).select(L.hour_decimal("created_date").alias("h")), "h", 96)
+    return E.histogram(comments(spark, sf_dir, with_time=True).select(L.hour_decimal("created_date").alias("h")), "h", 96)
 
 
 def hist_hour_sql():
@@ -433,7 +433,7 @@ def hist_article_means_sql():
 
 
 def corr_hour(spark, sf_dir):
-    df = filled(spark, sf_dir).select(L.hour_decimal("created_date").alias("h"), "target")
+    df = filled(spark, sf_dir, with_time=True).select(L.hour_decimal("created_date").alias("h"), "target")
     return df.agg(F.round(F.corr("h", "target"), 9).alias("corr"))
 
 
@@ -443,7 +443,7 @@ def corr_hour_sql():
 
 def night_mean(spark, sf_dir):
     h = L.hour_decimal("created_date")
-    df = filled(spark, sf_dir).where((h > 20) & (h < 22))
+    df = filled(spark, sf_dir, with_time=True).where((h > 20) & (h < 22))
     return df.agg(F.round(F.avg("target"), 9).alias("mean_target"), F.count(F.lit(1)).alias("n_comments"))
 
 

@@ -262,7 +262,7 @@ def split_tagged_docs(spark, sf_dir):
 
 def split_tagged_docs_sql():
     return with_comments(f"SELECT id, {S.tokens(S.emoticons('comment_text'))} AS words, "
-                         f"[CASE WHEN {H.row_hash_sql()} < {int(0.3 * H.TWO_32)} THEN 'Test_' ELSE 'Train_' END || CAST(id AS VARCHAR)] AS tags FROM comments")
+                         f"[CASE WHEN {H.row_hash_sql('split')} < {int(0.3 * H.TWO_32)} THEN 'Test_' ELSE 'Train_' END || CAST(id AS VARCHAR)] AS tags FROM comments")
 
 
 ATTR_BOOLS = [*SCORED_IDENTITIES, *SUBTYPE_COLUMNS, "toxicity_annotator_count", "identity_annotator_count"]
@@ -281,7 +281,7 @@ def attribute_tagged_sql():
     rules["toxicity_annotator_count"] = "coalesce(toxicity_annotator_count >= 8.78e0, false)"
     rules["identity_annotator_count"] = "coalesce(identity_annotator_count >= 1.44e0, false)"
     vals = ", ".join(f"CASE WHEN {rules[c]} THEN 'True' ELSE 'False' END" for c in ATTR_BOOLS)
-    split = f"CASE WHEN {H.row_hash_sql()} < {int(0.3 * H.TWO_32)} THEN 'Test_' ELSE 'Train_' END || CAST(id AS VARCHAR)"
+    split = f"CASE WHEN {H.row_hash_sql('split')} < {int(0.3 * H.TWO_32)} THEN 'Test_' ELSE 'Train_' END || CAST(id AS VARCHAR)"
     return with_comments(f"SELECT id, [{vals}, CAST(article_id AS VARCHAR), {split}] AS tags FROM comments")
 
 

@@ -60,7 +60,8 @@ def comments_frame(documents: DataFrame, labels: DataFrame, events: DataFrame |
     return j.select(*cols)
 
 
-def comments(spark: SparkSession, sf_dir: str, with_time: bool = True) -> DataFrame:
+def comments(spark: SparkSession, sf_dir: str, with_time: bool = False) -> DataFrame:
+    """``events`` are joined only for queries that need ``created_date`` (NULL otherwise)."""
     return comments_frame(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
                           table(spark, sf_dir, "events") if with_time else None)
 

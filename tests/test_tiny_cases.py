@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from biasframe.functions import labels as L
 from biasframe.functions import text as X
-from biasframe.operators import dedup, explore, metrics, vocab
-
+from biasframe.operators import dedup, explore, metrics, sample, vocab
 
 def test_auc_ties(spark):
     df = spark.createDataFrame([(0.9, 1), (0.5, 1), (0.5, 0), (0.1, 0), (0.5, 1)], "s double, y int")
@@ -153,3 +152,20 @@ def test_forest_depth_beyond_the_limit_raises(spark):
     from biasframe.operators import models
     with pytest.raises(ValueError):
         models.train_forest(spark.range(1), "id", max_depth=31)
+
+
+def test_null_texts_are_duplicates_of_nothing(spark):
+    df = spark.createDataFrame([(0, "a", 0.2, 1), (1, None, 0.4, 1), (2, None, 0.6, 1), (3, "b", 0.8, 1), (4, "a", 0.4, 1)],
+                               "id long, comment_text string, target double, toxicity_annotator_count int")
+    assert sorted(r["id"] for r in dedup.find_duplicates(df).collect()) == [0, 4]
+    kept = {r["id"]: r["target"] for r in dedup.collapse_duplicates(df).collect()}
+    assert {k: round(v, 6) for k, v in kept.items()} == {0: 0.3, 1: 0.4, 2: 0.6, 3: 0.8}
+    assert {r["id"]: r["n_removed_before"] for r in dedup.removed_before(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
+
+
+def test_sample_then_split_keeps_both_sides(spark):
+    ids = spark.range(10000)
+    train, test = sample.train_test_split(sample.sample_n(ids, 1000), 0.2)
+    assert 150 < test.count() < 250 and 750 < train.count() < 850
+    a, b = ({r["id"] for r in ids.where(sample.split_flag(0.2, seed=s)).collect()} for s in (0, 1))
+    assert 300 < len(a & b) < 500 and len({x + 1 for x in a} & b) < 500  # independent: 4 % of the rows
