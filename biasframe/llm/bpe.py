@@ -21,15 +21,16 @@ import hashlib
 import heapq
 import json
 import mmap
+import re
 import struct
 import tempfile
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +42,14 @@ from biasframe.llm.common import append_columns
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 LEXICON_WORDS = 16384
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
+SLICE_CHARS = 4_000_000
 LONG_WORD = 48
 EMPTY, NONE, HASH = np.uint64(2**64 - 1), 2**62, np.uint64(0x9E3779B97F4A7C15)
+#: A text that has other white space than a single space or newline between two chunks.
+ODD = (r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+       r"|[ \n][ \n]|\A[ \n]|[ \n]\z")
+START, HEADS = "\r", "\n\r"
 
 
 def byte_letters() -> list[str]:
@@ -59,6 +65,11 @@ def byte_letters() -> list[str]:
     return out
 
 
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches ``flat[start:start + size]`` one after the other."""
+    return flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
 class Merger:
     """The tokenizer's vocabulary and its exact merges."""
 
@@ -105,16 +116,25 @@ class Merger:
         return out
 
     def merge_all(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Exact merges of many words at once: each step merges, in every word,
-        all places of its pair of lowest rank. Long words go by a heap."""
-        out: list[tuple[int, ...]] = [()] * len(words)
-        short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG_WORD]
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = self._merge_long([self.byte_id[b] for b in w])
-        sym = np.asarray(self.byte_id, np.uint64)[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
-        size = np.array([len(words[i]) for i in short], np.int64)
-        word = np.array(short, np.int64)
+        """Exact merges of many words at once."""
+        flat, size = self.merge_flat(words)
+        ids, end = flat.tolist(), np.cumsum(size).tolist()
+        return [tuple(ids[e - n:e]) for e, n in zip(end, size.tolist())]
+
+    def merge_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and the number of ids of each word.
+        Each step merges, in every word, all places of its pair of lowest rank.
+        Long words go by a heap."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        flat, count, whose = [], [], []
+        for i in np.flatnonzero(length > LONG_WORD).tolist():
+            ids = self._merge_long([self.byte_id[b] for b in words[i]])
+            flat.append(np.asarray(ids, np.int32))
+            count.append([len(ids)])
+            whose.append([i])
+        word = np.flatnonzero((length > 0) & (length <= LONG_WORD))
+        size = length[word]
+        sym = np.asarray(self.byte_id, np.uint64)[np.frombuffer(b"".join(map(words.__getitem__, word.tolist())), np.uint8)]
         while len(word):
             start = np.cumsum(size) - size
             owner = np.repeat(np.arange(len(word)), size)
@@ -124,10 +144,10 @@ class Merger:
             low = np.minimum.reduceat(rank, start)
             done = low == NONE
             if done.any():
-                ids = sym.astype(np.int64).tolist()
-                for k in np.flatnonzero(done).tolist():
-                    out[word[k]] = tuple(ids[start[k]:start[k] + size[k]])
                 keep = ~done[owner]
+                flat.append(sym[~keep].astype(np.int32))
+                count.append(size[done])
+                whose.append(word[done])
                 sym, rank, owner, low, word = sym[keep], rank[keep], (np.cumsum(~done) - 1)[owner[keep]], low[~done], word[~done]
                 if not len(word):
                     break
@@ -138,7 +158,11 @@ class Merger:
             sym[best] = self.made_ids[rank[best]]
             stay = ~np.r_[False, best[:-1]]
             sym, size = sym[stay], np.bincount(owner[stay], minlength=len(word))
-        return out
+        sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        if flat:
+            n, at = np.concatenate(count).astype(np.int64), np.concatenate(whose).astype(np.int64)
+            sizes[at], starts[at] = n, np.cumsum(n) - n
+        return gather(np.concatenate(flat) if flat else np.zeros(0, np.int32), starts, sizes), sizes
 
     def _merge_long(self, parts: list[int]) -> tuple[int, ...]:
         """The same merges by a heap and a linked list, for words of any length."""
@@ -225,122 +249,169 @@ class Lexicon:
             f.write(block)
             f.flush()
             self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        view = memoryview(self._map)
-        self.root, n = struct.unpack_from("<2i", view, 0)
-        lengths, at, parts = struct.unpack_from(f"<{n}i", view, 8), 8 + 4 * n, []
+        self.root, n = struct.unpack_from("<2i", self._map, 0)
+        lengths, at, parts = struct.unpack_from(f"<{n}i", self._map, 8), 8 + 4 * n, []
         for size in lengths:
-            parts.append(view[at:at + 4 * size].cast("i"))
+            parts.append(np.frombuffer(self._map, np.int32, size, at))
             at += 4 * size
         self.first, self.final, self.label, self.target, self.skip, self.at, self.ids = parts
+        self.edge = np.repeat(np.arange(len(self.final)), np.diff(self.first)) << 8 | self.label  # ascending
+
+    def ranks(self, words: list[bytes]) -> np.ndarray:
+        """The rank of each word in the lexicon, -1 for others: all words walk
+        the automaton together, one byte at a step."""
+        out = np.full(len(words), -1, np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer(b"".join(words), np.uint8)
+        at = np.cumsum(size) - size
+        word, state, rank = np.arange(len(words)), np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        step = 0
+        while len(word):
+            ended = size[word] == step
+            here = ended & (self.final[state] == 1)
+            out[word[here]] = rank[here]
+            word, state, rank = word[~ended], state[~ended], rank[~ended]
+            key = state << 8 | text[at[word] + step]
+            e = np.searchsorted(self.edge, key)
+            on = e < len(self.edge)
+            on[on] = self.edge[e[on]] == key[on]
+            word, state, rank = word[on], self.target[e[on]].astype(np.int64), rank[on] + self.skip[e[on]]
+            step += 1
+        return out
 
     def find(self, word: bytes) -> tuple[int, ...] | None:
-        state, rank = self.root, 0
-        for c in word:
-            hi = self.first[state + 1]
-            e = bisect_left(self.label, c, self.first[state], hi)
-            if e == hi or self.label[e] != c:
-                return None
-            rank += self.skip[e]
-            state = self.target[e]
-        return tuple(self.ids[self.at[rank]:self.at[rank + 1]]) if self.final[state] else None
+        rank = int(self.ranks([word])[0])
+        return None if rank < 0 else tuple(self.ids[self.at[rank]:self.at[rank + 1]].tolist())
 
 
 class Codec:
     """Encoder and decoder of one task.
 
-    A chunk is what stands between two white-space characters. Where no two
-    such characters are adjacent, a chunk and the character before it are split
-    and merged without regard to the rest, so their ids are looked up: first in
-    a bounded memo, then in the lexicon, then they are split by the pattern and
-    merged exactly. Other texts are split by the pattern as a whole."""
+    A unit is a chunk without white space together with the space, the newline
+    or the text start before it. Where no two white-space characters are
+    adjacent, units are split and merged without regard to the rest. So a batch
+    is cut into units and each distinct one is looked up once: in a bounded
+    memo, then in the lexicon; the others are split by the pattern and merged
+    exactly. Other texts are split by the pattern as a whole, and their words
+    looked up likewise. Ids of all units known stand in one flat array."""
 
     def __init__(self, path: str, block: bytes):
         self.merger, self.lexicon = Merger(path), Lexicon(block)
         self.pieces = [self.merger.pieces.get(i, b"") for i in range(max(self.merger.pieces) + 1)]
         self.words = regex.compile(SPLIT).findall
-        self.marks = regex.compile("|".join(map(regex.escape, self.merger.special))) if self.merger.special else None
-        self.memo: dict[str, tuple[int, ...]] = {}  # word -> ids
-        self.bare: dict[str, tuple[int, ...]] = {}  # chunk at the start of a line -> ids
-        self.spaced: dict[str, tuple[int, ...]] = {}  # chunk after a space -> ids
-        self.newline = self.merger.merge(b"\n")
-
-    def _learn(self, bare: set[str], spaced: set[str]) -> None:
-        """Fill the memos for the chunks of a batch."""
-        for memo in (self.memo, self.bare, self.spaced):
-            if len(memo) >= MEMO_WORDS:
-                memo.clear()
-        split: list[tuple[dict, str, list[str]]] = []
-        for memo, head, chunks in ((self.bare, "", bare), (self.spaced, " ", spaced)):
-            for c in chunks - memo.keys():
-                ids = self.lexicon.find((head + c).encode())
-                if ids is None:
-                    if c.isascii() and c.isalpha():
-                        words = [head + c]
-                    elif c.isascii() and c[-1] in ".," and c[:-1].isalpha():
-                        words = [head + c[:-1], c[-1]]
-                    else:
-                        words = self.words(head + c)
-                    split.append((memo, c, words))
-                else:
-                    memo[c] = ids
-        self._learn_words({w for _, _, ws in split for w in ws})
-        get = self.memo.__getitem__
-        for memo, c, ws in split:
-            memo[c] = get(ws[0]) if len(ws) == 1 else tuple(chain.from_iterable(map(get, ws)))
-
-    def _learn_words(self, words: set[str]) -> None:
-        new = list(words - self.memo.keys())
-        self.memo.update(zip(new, self.merger.merge_all([w.encode() for w in new])))
-
-    def _plain_all(self, texts: list[str]) -> list[list[int]]:
-        plan, bare, spaced = [], set(), set()
-        for t in texts:
-            lines = [line.split(" ") for line in t.split("\n")]
-            if list(chain.from_iterable(lines)) != t.split():
-                plan.append((self.words(t), None))  # adjacent, outer or other white space
-            else:
-                for line in lines:
-                    bare.add(line[0])
-                    spaced.update(line[1:])
-                plan.append((None, lines))
-        self._learn(bare, spaced)
-        self._learn_words({w for words, _ in plan if words for w in words})
-        out = []
-        for words, lines in plan:
-            if lines is None:
-                out.append(list(chain.from_iterable(map(self.memo.__getitem__, words))))
-                continue
-            ids: list[int] = []
-            for k, line in enumerate(lines):
-                if k:
-                    ids += self.newline
-                ids += self.bare[line[0]]
-                ids += chain.from_iterable(map(self.spaced.__getitem__, line[1:]))
-            out.append(ids)
-        return out
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        parts, shape = [], []
-        for t in texts:
-            marks = [m[0] for m in self.marks.finditer(t)] if self.marks else []
-            parts += self.marks.split(t) if marks else [t]
-            shape.append(marks)
-        done, out = iter(self._plain_all(parts)), []
-        for marks in shape:
-            ids = next(done)
-            for m in marks:
-                ids.append(self.merger.special[m])
-                ids += next(done)
-            out.append(ids)
+        special = "|".join(map(regex.escape, self.merger.special))
+        self.marks = regex.compile(f"({special})") if special else None
+        self.odd = ODD + "".join("|" + re.escape(m) for m in self.merger.special)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the memo. A unit's key is its chunk, after a newline or START
+        where one of these stands before it; a word's key is the word; a special
+        token's key has a tab before it, which no word has."""
+        self.units: dict[str, int] = {START: 0}
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.start, self.size, self.rows = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 1
+        for mark, i in self.merger.special.items():
+            self.known["\t" + mark] = self._add(np.array([i], np.int32), np.array([1]))
+
+    def _add(self, flat: np.ndarray, size: np.ndarray) -> int:
+        """Append the ids of some units; the number of the first one."""
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.rows + len(size) > len(self.size):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        row, rows = self.rows, slice(self.rows, self.rows + len(size))
+        self.flat[self.used:self.used + len(flat)] = flat
+        self.start[rows], self.size[rows] = self.used + np.cumsum(size) - size, size
+        self.used, self.rows = self.used + len(flat), rows.stop
+        return row
+
+    def _word_rows(self, words: pa.Array) -> np.ndarray:
+        """The row of each word; new words are merged."""
+        codes, distinct = coded(words)
+        new = [w for w in distinct if w not in self.known]
+        row = self._add(*self.merger.merge_flat([w.encode() for w in new]))
+        self.known.update(zip(new, range(row, row + len(new))))
+        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[codes]
+
+    def _unit_rows(self, chunks: pa.Array) -> np.ndarray:
+        """The row of each unit; new ones are found in the lexicon or merged."""
+        codes, distinct = coded(chunks)
+        new = [c for c in distinct if c not in self.units]
+        if new:
+            full = [c if c[0] in HEADS else " " + c for c in new]
+            rank = self.lexicon.ranks([c.encode() for c in full])
+            hit = np.flatnonzero(rank >= 0)
+            first, last = self.lexicon.at[rank[hit]].astype(np.int64), self.lexicon.at[rank[hit] + 1]
+            row = self._add(gather(self.lexicon.ids, first, last - first), last - first)
+            self.units.update(zip(map(new.__getitem__, hit.tolist()), range(row, row + len(hit))))
+            miss = np.flatnonzero(rank < 0).tolist()
+            words = self.words("".join(map(full.__getitem__, miss)))  # only a unit's first word has white space
+            opens = np.flatnonzero(np.fromiter((w[0] in HEADS or w[0] == " " for w in words), bool, len(words)))
+            rows = self._word_rows(pa.array([w for w in words], pa.string()))
+            size = self.size[rows]
+            size[np.fromiter((w == START for w in words), bool, len(words))] = 0
+            total = np.add.reduceat(size, opens) if len(opens) else size
+            row = self._add(gather(self.flat, self.start[rows], size), total)
+            self.units.update(zip(map(new.__getitem__, miss), range(row, row + len(miss))))
+        return np.fromiter(map(self.units.__getitem__, distinct), np.int64, len(distinct))[codes]
+
+    def _ids(self, rows: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts whose units are ``rows``, each ending at ``ends``."""
+        size = self.size[rows]
+        cuts = np.r_[0, np.cumsum(size)][ends]
+        return np.split(gather(self.flat, self.start[rows], size), cuts[:-1])
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.units) + len(self.known) > MEMO_WORDS:
+            self._forget()
+        every = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(every, self.odd).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            marked = pc.replace_substring(every.take(pa.array(plain)), "\n", " \n")
+            cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(START, pa.large_string()), marked, pa.scalar("", pa.large_string())), " ")
+            ends = np.cumsum(pc.list_value_length(cut).to_numpy())
+            for i, ids in zip(plain.tolist(), self._ids(self._unit_rows(cut.flatten()), ends)):
+                out[i] = ids
+        if odd.any():
+            words, ends = [], []
+            for i in np.flatnonzero(odd).tolist():
+                for k, part in enumerate(self.marks.split(texts[i]) if self.marks else [texts[i]]):
+                    words += ["\t" + part] if k % 2 else self.words(part)
+                ends.append(len(words))
+            for i, ids in zip(np.flatnonzero(odd).tolist(), self._ids(self._word_rows(pa.array(words, pa.large_string())), np.array(ends))):
+                out[i] = ids
         return out
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def coded(values: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """The number of each value among the distinct ones, and these."""
+    found = values.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
+def slices(texts: list[str]) -> Iterator[list[str]]:
+    """Stretches of a batch of about SLICE_CHARS, a longer text alone or last."""
+    some, chars = [], 0
+    for t in texts:
+        some.append(t)
+        chars += len(t)
+        if chars >= SLICE_CHARS:
+            yield some
+            some, chars = [], 0
+    if some:
+        yield some
+
+
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -363,11 +434,13 @@ def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = LEXICON
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update((t or "").split())
+            for at in range(0, b.num_rows, 1000):
+                words = pc.utf8_split_whitespace(b.column(0).slice(at, 1000).drop_null()).flatten().value_counts()
+                for w, n in zip(words.field("values").to_pylist(), words.field("counts").to_pylist()):
+                    seen[w] += n
             if len(seen) > 20 * limit:  # bounded memory: the rare ones give way
                 seen = Counter(dict(seen.most_common(4 * limit)))
-        top = [(w, n) for w, n in seen.most_common(limit) if len(w) <= 64]
+        top = [(w, n) for w, n in seen.most_common(limit) if 0 < len(w) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
     counts = docs.select(text_col).mapInArrow(count, "word string, n long")
@@ -398,8 +471,8 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", limit: int
 
         def run(texts: list[str | None]) -> tuple:
             ids, back = [], []
-            for at in range(0, len(texts), 256):  # bounded memory within a batch
-                some = codec.encode_all([t or "" for t in texts[at:at + 256]])
+            for part in slices([t or "" for t in texts]):  # bounded memory within a batch
+                some = [x.tolist() for x in codec.encode_all(part)]
                 if digests:
                     ids += [(len(x), hashlib.sha256(",".join(map(name.__getitem__, x)).encode()).hexdigest()) for x in some]
                     back += [hashlib.sha256(codec.decode(x).encode()).hexdigest() for x in some]

@@ -75,6 +75,17 @@ def test_bpe_equals_library(docs, none):
     assert bpe.encode_decode(none, PATH).count() == 0
 
 
+@pytest.mark.parametrize("known", [{}, {" the": (262,)}])
+def test_bpe_codec_on_mixed_white_space(known):
+    lib, rng = Tokenizer.from_file(PATH), np.random.RandomState(3)
+    parts = [" ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u3000", "the", "it's", "'ll", "12", "é", "世界", ".", ",",
+             "<|endoftext|>", "<|endoftext", "\x00", "😀", "Ж" * 30, "z" * 70]
+    texts = ["", " ", "\n", "\r", "a\nb"] + ["".join(rng.choice(parts, rng.randint(12))) for _ in range(3000)]
+    codec = bpe.Codec(PATH, bpe.compile_lexicon({w.encode(): ids for w, ids in known.items()}))
+    for text, ids in zip(texts, codec.encode_all(texts)):
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_lexicon_is_minimal_and_exact():
     entries = {w.encode(): (i, i + 1) for i, w in enumerate(["tap", "taps", "top", "tops", "t"])}
     lex = bpe.Lexicon(bpe.compile_lexicon(entries))
