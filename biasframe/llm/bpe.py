@@ -16,7 +16,6 @@ with an output is replaced.
 from __future__ import annotations
 
 import array
-import gc
 import hashlib
 import heapq
 import json
@@ -26,6 +25,7 @@ import struct
 import tempfile
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -42,7 +42,7 @@ from biasframe.llm.common import append_columns
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 LEXICON_WORDS = 16384
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 SLICE_CHARS = 4_000_000
 LONG_WORD = 48
 EMPTY, NONE, HASH = np.uint64(2**64 - 1), 2**62, np.uint64(0x9E3779B97F4A7C15)
@@ -284,6 +284,12 @@ class Lexicon:
         return None if rank < 0 else tuple(self.ids[self.at[rank]:self.at[rank + 1]].tolist())
 
 
+@lru_cache(maxsize=1)
+def tables(path: str, block: bytes) -> tuple[Merger, Lexicon]:
+    """The fixed tables, kept by a worker process for all tasks it runs."""
+    return Merger(path), Lexicon(block)
+
+
 class Codec:
     """Encoder and decoder of one task.
 
@@ -296,7 +302,7 @@ class Codec:
     looked up likewise. Ids of all units known stand in one flat array."""
 
     def __init__(self, path: str, block: bytes):
-        self.merger, self.lexicon = Merger(path), Lexicon(block)
+        self.merger, self.lexicon = tables(path, block)
         self.pieces = [self.merger.pieces.get(i, b"") for i in range(max(self.merger.pieces) + 1)]
         self.words = regex.compile(SPLIT).findall
         special = "|".join(map(regex.escape, self.merger.special))
@@ -412,20 +418,6 @@ def slices(texts: list[str]) -> Iterator[list[str]]:
         yield some
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
-def codec_of(path: str, block: bytes) -> Codec:
-    """The codec of this worker process: its memo serves all tasks it runs."""
-    key = (path, hashlib.sha256(block).hexdigest())
-    if key not in _CODECS:
-        gc.freeze()
-        gc.set_threshold(200_000, 50, 1000)  # millions of small tuples and no cycles
-        _CODECS.clear()
-        _CODECS[key] = Codec(path, block)
-    return _CODECS[key]
-
-
 def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = LEXICON_WORDS) -> list[str]:
     """The words to compile: every task counts all white-space words of its rows
     and sends its ``limit`` most frequent ones; the sums give the ``limit`` most frequent
@@ -466,7 +458,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", limit: int
     block = docs.sparkSession.sparkContext.broadcast(lexicon_block(docs, path, text_col, limit))
 
     def make():
-        codec = codec_of(path, block.value)
+        codec = Codec(path, block.value)
         name = [str(i) for i in range(len(codec.pieces))]
 
         def run(texts: list[str | None]) -> tuple:

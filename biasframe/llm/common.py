@@ -52,6 +52,7 @@ def append_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[T.Stru
             made = fn(*[b.column(i).to_pylist() for i in places])
             cols = [b.column(i) for i in passed] + [pa.array(v, type=t, from_pandas=True) for v, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
     return df.mapInArrow(run, schema)
 
