@@ -430,7 +430,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = LEXICON
                 words = pc.utf8_split_whitespace(b.column(0).slice(at, 1000).drop_null()).flatten().value_counts()
                 for w, n in zip(words.field("values").to_pylist(), words.field("counts").to_pylist()):
                     seen[w] += n
-            if len(seen) > 20 * limit:  # bounded memory: the rare ones give way
+            if len(seen) > 10 * limit:  # bounded memory: the rare ones give way
                 seen = Counter(dict(seen.most_common(4 * limit)))
         top = [(w, n) for w, n in seen.most_common(limit) if 0 < len(w) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
@@ -464,13 +464,14 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", limit: int
         def run(texts: list[str | None]) -> tuple:
             ids, back = [], []
             for part in slices([t or "" for t in texts]):  # bounded memory within a batch
-                some = [x.tolist() for x in codec.encode_all(part)]
-                if digests:
-                    ids += [(len(x), hashlib.sha256(",".join(map(name.__getitem__, x)).encode()).hexdigest()) for x in some]
-                    back += [hashlib.sha256(codec.decode(x).encode()).hexdigest() for x in some]
-                else:
-                    ids += [(len(x), x) for x in some]
-                    back += map(codec.decode, some)
+                for found in codec.encode_all(part):
+                    x = found.tolist()
+                    if digests:
+                        ids.append((len(x), hashlib.sha256(",".join(map(name.__getitem__, x)).encode()).hexdigest()))
+                        back.append(hashlib.sha256(codec.decode(x).encode()).hexdigest())
+                    else:
+                        ids.append((len(x), found))
+                        back.append(codec.decode(x))
             return [n for n, _ in ids], [x for _, x in ids], back
 
         return run
