@@ -5,7 +5,8 @@ sketch: a count per log-linear cell (the leading bits of the value), so merging
 is adding counts and every quantile is known to one part in 64. Cutoffs are
 fences around the quartiles of the group; groups with few texts use the merged
 sketch of their language, or of all texts. The cutoffs are joined back to the
-measures to filter.
+measures to filter. ``tail_cutoffs`` takes them from the tails of the group's
+own sketch instead, at every group size and without least spreads.
 
 Defined cases: a null text has no words; texts without words fail the base
 rules and stay out of the sketches; null languages and sources are groups of
@@ -16,6 +17,8 @@ not read, so their names cannot clash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,15 +117,30 @@ def cutoffs(valued: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e in ("low", "high")])
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def tail_cutoffs(valued: DataFrame) -> DataFrame:
+    """lang, source, and per measure the fences below and above: as far beyond
+    the outer tenths of the group's own sketch as these lie from its median,
+    and the width of the cells. No least spread and no other group's sketch."""
+    w = Window.partitionBy("lang", "source", "measure")
+    run = sketches(valued).withColumn("_below", F.sum("n").over(w.orderBy("cell"))).withColumn("_all", F.sum("n").over(w))
+    tails = run.groupBy("lang", "source", "measure").agg(
+        *[F.min(F.when(10 * F.col("_below") >= k * F.col("_all"), F.col("cell"))).alias(f"q{k}") for k in (1, 5, 9)])
+    fences = tails.select("lang", "source", "measure", F.expr("2 * q1 - q5 - shiftright(q5, 6)").alias("low"),
+                          F.expr("2 * q9 - q5 + shiftright(q9, 5)").alias("high"))
+    return fences.groupBy("lang", "source").agg(
+        *[F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e in ("low", "high")])
+
+
+def judge(docs: DataFrame, fence: Callable[[DataFrame], DataFrame] = cutoffs) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed and kept for every row of ``docs``. The measures (nine numbers a
+    base_failed and kept for every row of ``docs``. ``fence`` gives the cutoffs
+    of every lang and source: ``cutoffs`` or ``tail_cutoffs``. The measures (nine numbers a
     row) are written once; the texts are read once and never shuffled. The
     cutoffs are a written table, so the planner broadcasts them only if their
     files are small and joins by shuffle otherwise."""
     measured = written(measures(docs).select("*", base_failed().alias("base_failed")), "measures")
     valued = measured.select("*", *_values())
-    fences = written(cutoffs(valued.where("n_words > 0")), "cutoffs").withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
+    fences = written(fence(valued.where("n_words > 0")), "cutoffs").withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
     joined = valued.join(fences, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
     for m in MEASURES:
@@ -185,3 +203,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND coalesce({' AND '.join(f'{m} <= {m}_high' for m in MEASURES)} AND word_milli >= word_milli_low, false) AS kept
 FROM valued v LEFT JOIN fences f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source
 """
+
+TAIL_RULES_SQL = RULES_SQL[:RULES_SQL.index("own AS (")] + f"""
+tails AS (
+  SELECT lang, source, measure, {', '.join(f"min(CASE WHEN 10 * below >= {k} * total THEN cell END) AS q{k}" for k in (1, 5, 9))}
+  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY cell) AS below, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM sketch)
+  GROUP BY ALL),
+fences AS (
+  SELECT lang, source, {', '.join(f"max(CASE WHEN measure = '{m}' THEN 2 * q9 - q5 + (q9 >> 5) END) AS {m}_high" for m in MEASURES)},
+         max(CASE WHEN measure = 'word_milli' THEN 2 * q1 - q5 - (q5 >> 6) END) AS word_milli_low
+  FROM tails GROUP BY ALL)
+""" + RULES_SQL[RULES_SQL.index("SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,"):]

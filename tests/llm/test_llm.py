@@ -122,6 +122,19 @@ def test_rules_match_brute_force(docs, none):
     assert rules.judge(none).count() == 0
 
 
+def test_tail_cutoffs_follow_the_group(spark):
+    """Two small groups: one where a tenth of symbols is usual, one where it is not."""
+    rows = [(1000 * g + i, " ".join(f"w{i}x{j}" + "#" * (j % 10 < k) for j in range(60)), "en", s)
+            for g, (s, usual) in enumerate([("code", 4), ("prose", 0)]) for i in range(40) for k in [usual + i % 3 if i else 8]]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    measured = rules.measures(many).select("*", *rules._values())
+    high = {r.source: r.symbols_ppm_high for r in rules.tail_cutoffs(measured).collect()}
+    assert high["code"] > 1.5 * high["prose"]
+    kept = {r.doc_id: r.kept for r in rules.judge(many, rules.tail_cutoffs).collect()}
+    assert not kept[1000] and all(v for k, v in kept.items() if k % 1000)
+    assert rules.judge(many.limit(0), rules.tail_cutoffs).count() == 0
+
+
 def test_mix(spark, docs, none):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(TEXTS) and all(r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in rows)
