@@ -20,6 +20,7 @@ from biasframe.sources.tables import table
 EMBED_DIM = 64
 NUM_WORDS = 10000
 SEQ_LEN = 250
+FEW_WORDS, FEW_WORDS_LEN = 1000, 150
 MODEL_LEN = 128
 
 
@@ -151,6 +152,31 @@ def pad_pre_sql():
             "SELECT id, list_concat(list_transform(range(16 - len(kept)), lambda x: 0::BIGINT), kept) AS padded FROM k")
 
 
+def raw_docs(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+
+
+def pad_pre_docs(spark, sf_dir):
+    """F11 as the reference has it: the last 250 of the 10,000 first words'
+    ids, and the last 150 of the 1,000 first words', of the document texts."""
+    docs = raw_docs(spark, sf_dir)
+    s = V.encode(docs, V.fit_vocabulary(V.corpus([docs])), num_words=NUM_WORDS)
+    few = F.filter("ids", lambda i: i < FEW_WORDS)
+    return s.select("id", V.pad_pre("ids", SEQ_LEN).alias("padded_250"), V.pad_pre(few, FEW_WORDS_LEN).alias("padded_150"))
+
+
+def pad_pre_docs_sql():
+    cap = f"AND v.word_index < {NUM_WORDS}"
+
+    def padded(ids, n):
+        kept = f"CASE WHEN len({ids}) > {n} THEN {ids}[len({ids}) - {n - 1}:] ELSE {ids} END"
+        return f"list_concat(list_transform(range(greatest({n} - len({ids}), 0)), lambda x: 0::BIGINT), {kept})"
+
+    return (f"WITH docs AS (SELECT 0 AS part, doc_id AS doc, text FROM documents), {_vocab_sql(V.DEFAULT_FILTERS)}, {_encode_sql(cap)}, "
+            f"few AS (SELECT *, list_filter(ids, lambda i: i < {FEW_WORDS}) AS few_ids FROM seqs) "
+            f"SELECT id, {padded('ids', SEQ_LEN)} AS padded_250, {padded('few_ids', FEW_WORDS_LEN)} AS padded_150 FROM few")
+
+
 def model_inputs(spark, sf_dir):
     vocab = conv_vocab(spark, sf_dir)
     s = _conv_seqs(spark, sf_dir, vocab=vocab)
@@ -354,6 +380,7 @@ QUERIES = {
     "f9_max_length": (max_len, max_len_sql),
     "f10_pad_post": (pad_post, pad_post_sql),
     "f11_pad_pre": (pad_pre, pad_pre_sql),
+    "f11_pad_pre_documents": (pad_pre_docs, pad_pre_docs_sql),
     "f12_model_inputs": (model_inputs, model_inputs_sql),
     "f2_sentence_corpus": (sentence_corpus, sentence_corpus_sql),
     "f13_example_records": (example_records, example_records_sql),
