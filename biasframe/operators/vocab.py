@@ -58,29 +58,18 @@ def tokenize(corp: DataFrame, filters: str = DEFAULT_FILTERS, lower: bool = True
     return corp.select("part", "doc", F.posexplode(tokens("text", filters, lower)).alias("pos", "word"))
 
 
-_DOC_BITS = 61
-
-
-def _doc_key(part: Column, doc: Column) -> Column:
-    """(part, doc) packed into one order-preserving long, so that "first
-    appearance" is a plain ``min`` (hash aggregation; a struct minimum would
-    force a sort-based aggregation). Requires 0 <= doc < 2^61, part < 4."""
-    ok = (doc >= 0) & (doc < F.lit(1 << _DOC_BITS)) & (part >= 0) & (part < 4)
-    return F.when(ok, F.shiftleft(part.cast("long"), _DOC_BITS) + doc.cast("long")).otherwise(
-        F.raise_error(F.lit("document key outside [0, 2^61) or more than 4 corpus parts")))
-
-
 def vocabulary_from_tokens(tok: DataFrame) -> DataFrame:
     """(word, word_count, word_index) from ``tokenize`` rows.
 
-    Two hash aggregations: per (word, document) the count and first position
-    (combined map-side, where the document's tokens live), then per word the
-    total, the first document and that document's first position."""
-    per_doc = (tok.select("word", _doc_key(F.col("part"), F.col("doc")).alias("_k"), "pos")
-                  .groupBy("word", "_k").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_p")))
-    stats = per_doc.groupBy("word").agg(F.sum("_n").alias("word_count"), F.min("_k").alias("_k"),
-                                        F.min_by("_p", "_k").alias("_p"))
-    ranked = dense_index(stats, [F.desc("word_count"), F.col("_k"), F.col("_p"), F.col("word")], name="_r")
+    Three hash aggregations (a struct minimum would force a sort-based one): per
+    (word, document) the count and first position (combined map-side, where the
+    document's tokens live), per (word, part) the total and the first document
+    with its first position, and per word the same of the first part."""
+    per_doc = tok.groupBy("word", "part", "doc").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_p"))
+    per_part = per_doc.groupBy("word", "part").agg(F.sum("_n").alias("_n"), F.min("doc").alias("_d"), F.min_by("_p", "doc").alias("_p"))
+    stats = per_part.groupBy("word").agg(F.sum("_n").alias("word_count"), F.min("part").alias("_k"),
+                                         F.min_by("_d", "part").alias("_d"), F.min_by("_p", "part").alias("_p"))
+    ranked = dense_index(stats, [F.desc("word_count"), F.col("_k"), F.col("_d"), F.col("_p"), F.col("word")], name="_r")
     return ranked.select("word", "word_count", (F.col("_r") + 1).alias("word_index"))
 
 

@@ -24,3 +24,10 @@ def test_pad_pre_keeps_250_and_150_ids(spark):
         for got, n, words in ((r.padded_250, 250, 10_000), (r.padded_150, 150, 1000)):
             want = [index[w] for w in toks[r.id] if index[w] < words][-n:]
             assert got == [0] * (n - len(want)) + want
+
+
+def test_vocabulary_of_five_parts_and_any_id(spark):
+    parts = [[(2**61, "late"), (-5, "early late")], [(1, "one")], [(1, "two")], [(1, "three")], [(7, "five early")]]
+    corp = V.corpus([spark.createDataFrame(p, "id long, text string") for p in parts])
+    got = [r.word for r in V.fit_vocabulary(corp).orderBy("word_index").collect()]
+    assert got == ["early", "late", "one", "two", "three", "five"]
