@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,13 +34,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that ``append_columns`` turns into Python values at once.
+SLICE_BYTES = 4 << 20
+
+
+def slices(b: pa.RecordBatch, places: Sequence[int], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch whose texts (the columns at ``places``) have about
+    ``limit`` bytes; a longer text is alone or last."""
+    size = np.ones(b.num_rows, np.int64)
+    for i in places:
+        if pa.types.is_string(b.column(i).type) or pa.types.is_large_string(b.column(i).type):
+            size += pc.fill_null(pc.binary_length(b.column(i)), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(size) - size) // limit
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, b.num_rows]
+    for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+        yield b.slice(lo, hi - lo)
+
+
 def append_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[T.StructField],
                    make: Callable[[], Callable[..., Sequence]]) -> DataFrame:
     """``df`` with ``fields`` computed batch by batch in Python, no shuffle.
 
     ``make()`` runs once per task and returns a function that maps the input
-    columns (Python lists) to one list or array per field. A column of ``df``
-    that has the name of a new field is replaced by it."""
+    columns (Python lists) to one list or array per field; it is called for
+    stretches of some MB of text, so memory is bounded whatever the batch. A
+    column of ``df`` that has the name of a new field is replaced by it."""
     new = {f.name for f in fields}
     kept = [c for c in df.columns if c not in new]
     schema = T.StructType([*[df.schema[c] for c in kept], *fields])
@@ -48,10 +68,13 @@ def append_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[T.Stru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
-            made = fn(*[b.column(i).to_pylist() for i in places])
-            cols = [b.column(i) for i in passed] + [pa.array(v, type=t, from_pandas=True) for v, t in zip(made, types)]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        for batch in batches:
+            for b in slices(batch, places) if batch.num_rows else [batch]:
+                made = fn(*[b.column(i).to_pylist() for i in places])
+                cols = [b.column(i) for i in passed] + [pa.array(v, type=t, from_pandas=True) for v, t in zip(made, types)]
+                del made
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                del b, cols
         pa.default_memory_pool().release_unused()  # the worker process lives on
 
     return df.mapInArrow(run, schema)

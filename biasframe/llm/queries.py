@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from biasframe.llm import bpe, mixing, near_dup, ngram_lm, quality_model, rules, secrets, sharding, topk, warc
+from biasframe.llm import bpe, mixing, near_dup, ngram_lm, pieces, quality_model, rules, secrets, sharding, topk, warc
 from biasframe.llm.common import remainder, written
 from biasframe.sources.tables import table
 
@@ -85,6 +85,12 @@ def score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), remainder(F.col("doc_id"), 7) == 2)
 
 
+def encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+    return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES = {
     "op1_quality_classifier": (classify_quality, None),
     "op2_quality_rules": (judge_rules, lambda: rules.RULES_SQL),
@@ -98,4 +104,5 @@ QUERIES = {
     "op9_warc": (archive_pages, lambda: warc.WARC_SQL),
     "pipeline": (corpus_pipeline.run, None if corpus_pipeline.ORACLE_SQL is None else lambda: corpus_pipeline.ORACLE_SQL),
     "op10_resharding": (reshard_documents, None),
+    "op11_sentencepiece": (encode_pieces, None),
 }
