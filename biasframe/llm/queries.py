@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from biasframe.llm import bpe, mixing, near_dup, ngram_lm, pieces, quality_model, rules, secrets, sharding, topk, warc
+from biasframe.llm import bpe, lexical, mixing, near_dup, ngram_lm, pieces, quality_model, rules, secrets, sharding, topk, warc
 from biasframe.llm.common import remainder, written
 from biasframe.sources.tables import table
 
@@ -91,6 +91,10 @@ def encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), 10)
+
+
 QUERIES = {
     "op1_quality_classifier": (classify_quality, None),
     "op2_quality_rules": (judge_rules, lambda: rules.RULES_SQL),
@@ -105,4 +109,5 @@ QUERIES = {
     "pipeline": (corpus_pipeline.run, None if corpus_pipeline.ORACLE_SQL is None else lambda: corpus_pipeline.ORACLE_SQL),
     "op10_resharding": (reshard_documents, None),
     "op11_sentencepiece": (encode_pieces, None),
+    "op12_lexical_search": (rank_documents, lambda: lexical.SEARCH_SQL),
 }
