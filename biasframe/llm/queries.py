@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from biasframe.llm import bpe, lexical, mixing, near_dup, ngram_lm, pieces, quality_model, rules, secrets, sharding, topk, warc
+from biasframe.llm import bpe, codes, lexical, mixing, near_dup, ngram_lm, pieces, quality_model, rules, secrets, sharding, topk, warc
 from biasframe.llm.common import remainder, written
 from biasframe.sources.tables import table
 
@@ -95,6 +95,10 @@ def rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), 10)
 
 
+def compress_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_table(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 QUERIES = {
     "op1_quality_classifier": (classify_quality, None),
     "op2_quality_rules": (judge_rules, lambda: rules.RULES_SQL),
@@ -110,4 +114,5 @@ QUERIES = {
     "op10_resharding": (reshard_documents, None),
     "op11_sentencepiece": (encode_pieces, None),
     "op12_lexical_search": (rank_documents, lambda: lexical.SEARCH_SQL),
+    "op13_vector_codes": (compress_vectors, lambda: codes.CODES_SQL),
 }
