@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -43,7 +44,7 @@ def test_a_small_memo_changes_nothing(lib, monkeypatch):
     monkeypatch.setattr(pieces, "MEMO_UNITS", 50)
     monkeypatch.setattr(pieces, "MEMO_PAIRS", 20)
     codec, texts = pieces.Codec(PATH), random_texts(400)
-    codec.model.pairs.clear()
+    codec.model._forget()
     for at in range(0, len(texts), 20):
         assert [x.tolist() for x in codec.encode_all(texts[at:at + 20])] == lib.encode(texts[at:at + 20])
 
@@ -51,12 +52,15 @@ def test_a_small_memo_changes_nothing(lib, monkeypatch):
 def test_backtracking_takes_pieces_back(lib):
     """Greedy longest pieces alone would give other ids on some of these."""
     m, greedy = pieces.model(PATH), 0
-    for word in ["\u2581" + w for t in random_texts(500) for w in t.split(" ") if w and "\u2581" not in w]:
-        at, longest, starts = 0, [], m.starts(word)
+    units = ["\u2581" + w for t in random_texts(500) for w in t.split(" ") if w and "\u2581" not in w]
+    flat, count = m.pieces_short(units)
+    for word, own in zip(units, np.split(flat, np.cumsum(count)[:-1])):
+        at, longest, found = 0, [], m.back.run(word[::-1])[::-1]
         while at < len(word):
-            longest.append(starts[at][0])
-            at += m.size[longest[-1]] if longest[-1] >= 0 else 1
-        greedy += longest != m.pieces(word)
+            longest.append(m._first(found, word, at))
+            at += int(m.size[longest[-1]])
+        greedy += longest != own.tolist()
+        assert m.pieces_long(word) == own.tolist()
     assert greedy > 20
 
 
