@@ -7,12 +7,15 @@ order, so what moves is compact and no key, however common, is hot. A shard of
 pairs is a trie: the contexts and the pointers to their successors are monotone
 sequences in Elias-Fano form, the successors of all contexts form one more (each
 relative to its context's range), and every successor has an 8-bit quantised
-probability. The levels lie in one memory-mapped block; sorted queries are
-answered by successor search within the range of their context.
+probability. The levels lie in one memory-mapped block; the distinct pairs of all
+blocks are looked up once in a shard, sorted, by successor search within the
+range of their context, and each block gets its answers by position.
 
-P(w | v) = WEIGHT * c(v w) / c(v) + (1 - WEIGHT) * P(w), P(w) = (c(w) + 1) / (N + V + 1);
-after a word unknown in training P(w | v) = P(w). The first part is what the
-trie stores, quantised; a pair unseen in training has only the second.
+P(w | v) = (c(v w) + MASS * P(w)) / (c(v) + MASS), P(w) = (c(w) + 1) / (N + V + 1):
+the more often a context was seen, the more its pairs count against the words
+alone, so a pair seen twice after a rare word is far likelier than one seen once.
+After a word unknown in training this is P(w). The trie stores c(v w) / (c(v) + MASS),
+quantised; a pair unseen in training has only the second part.
 
 Defined cases: null text counts as empty; an empty text is its end token; with
 no training text every count is 0; repeated rows count and are scored each;
@@ -39,12 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biasframe.llm.common import written
+from biasframe.llm.common import scratch, written
 from biasframe.llm.near_dup import mixed
 
 BLOCK_TOKENS = 2_000_000
 SHARD_KEYS = 3_000_000
-WEIGHT = 0.75
+MASS = 4.0  # of the words alone, in occurrences of the context
 STEP, MISS = 0.04, 255  # of the quantised decimal logarithms
 END, START = b" ", b"\n"  # no word has white space
 _U = np.uint64
@@ -228,13 +231,21 @@ class Block:
         return np.unique(ids[before] << _U(32) | ids[self.codes], return_inverse=True)
 
 
+def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each shard that occurs, in order."""
+    by = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[by], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        yield s, by[cuts[s]:cuts[s + 1]]
+
+
 def _answers(row: dict, name: str, dtypes: list, shard_of: np.ndarray) -> list[np.ndarray]:
     """The shards' answers of a block in the order of its keys."""
     out = [np.zeros(len(shard_of), d) for d in dtypes]
-    for a in row[name]:
-        at = np.flatnonzero(shard_of == a["shard"])
+    sent = {a["shard"]: a for a in row[name]}
+    for s, at in _by_shard(shard_of, max(sent, default=0) + 1):
         for k, o in enumerate(out):
-            o[at] = unpack(a[f"v{k}"], dtypes[k])
+            o[at] = unpack(sent[s][f"v{k}"], dtypes[k])
     return out
 
 
@@ -252,9 +263,8 @@ def count_words(blocks: DataFrame, shards: int) -> DataFrame:
             for row in pdf.to_dict("records"):
                 b = Block(row)
                 n, shard = b.counts(), (mixed(b.keys) % _U(shards)).astype(int)
-                for s in np.unique(shard):
-                    at = np.flatnonzero(shard == s)
-                    yield pd.DataFrame({"shard": [int(s)], "block": [row["block"]], "keys": [pack_sorted(b.keys[at])], "n": [pack(n[at].astype(np.uint32))]})
+                for s, at in _by_shard(shard, shards):
+                    yield pd.DataFrame({"shard": [s], "block": [row["block"]], "keys": [pack_sorted(b.keys[at])], "n": [pack(n[at].astype(np.uint32))]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
@@ -287,30 +297,24 @@ def look_up_pairs(known: DataFrame, shards: int, word_shards: int) -> DataFrame:
                 ids = ids.astype(_U)
                 pairs, where = b.pairs(ids)
                 seen = np.bincount(where[b.train], minlength=len(pairs)).astype(np.uint32)
-                of = np.zeros(0, np.int64)
                 order = np.argsort(ids)
                 of = n[order[np.searchsorted(ids[order], pairs >> _U(32))]]
-                context = np.round(np.log10(np.maximum(of, 1)) / STEP).astype(np.uint8)
-                shard = (mixed(pairs) % _U(shards)).astype(np.int32)
-                by = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[by], np.arange(shards + 1))
-                for s in range(shards):
-                    at = by[cuts[s]:cuts[s + 1]]
-                    if len(at):
-                        yield pd.DataFrame({"shard": [s], "block": [row["block"]], "keys": [pack_sorted(pairs[at])], "n": [pack(seen[at])], "context": [pack(context[at])]})
+                context = np.round(np.log10(of + MASS) / STEP).astype(np.uint8)
+                for s, at in _by_shard((mixed(pairs) % _U(shards)).astype(np.int32), shards):
+                    yield pd.DataFrame({"shard": [s], "block": [row["block"]], "keys": [pack_sorted(pairs[at])], "n": [pack(seen[at])], "context": [pack(context[at])]})
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_sorted(x) for x in pdf["keys"]]
-        seen = [unpack(x, np.uint32) for x in pdf["n"]]
-        every, where = np.unique(np.concatenate([k[n > 0] for k, n in zip(keys, seen)]), return_inverse=True)
-        n = np.bincount(where, np.concatenate([n[n > 0] for n in seen]), len(every))
+        every, where = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(where, np.concatenate([unpack(x, np.uint32) for x in pdf["n"]]), len(every))
         context = np.zeros(len(every))
-        context[where] = np.concatenate([unpack(x, np.uint8)[s > 0] for x, s in zip(pdf["context"], seen)])
-        share = np.log10(np.maximum(n, 1) * WEIGHT) - context * STEP
-        codes = np.clip(np.round(-share / STEP), 0, MISS - 1)
-        low = _U(2**32 - 1)
-        trie = Trie(Trie.build(every >> _U(32), every & low, codes))
-        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "v0": [pack(trie.find(k >> _U(32), k & low)) for k in keys]})
+        context[where] = np.concatenate([unpack(x, np.uint8) for x in pdf["context"]])
+        stored, low = n > 0, _U(2**32 - 1)
+        codes = np.clip(np.round(context[stored] - np.log10(n[stored]) / STEP), 0, MISS - 1)
+        trie = Trie(Trie.build(every[stored] >> _U(32), every[stored] & low, codes))
+        found = trie.find(every >> _U(32), every & low)  # once for all blocks: work grows with the keys alone
+        ends = np.cumsum([len(k) for k in keys])
+        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "v0": [pack(found[w]) for w in np.split(where, ends[:-1])]})
 
     sent = known.mapInPandas(send, "shard int, block long, keys binary, n binary, context binary")
     return written(sent.groupBy("shard").applyInPandas(answer, "block long, shard int, v0 binary"), "pair_answers")
@@ -323,8 +327,10 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     table = f"llm_blocks_{uuid.uuid4().hex}"
     made = text_blocks(docs, held)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made.write.bucketBy(parts, "block").format("parquet").saveAsTable(table)  # later joins leave the blocks in place
+    # a table in buckets below the shared folder: later joins leave the blocks in place; its catalog entry is not needed afterwards
+    made.write.bucketBy(parts, "block").format("parquet").option("path", scratch(spark, "blocks")).saveAsTable(table)
     blocks = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
     total = blocks.agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.count(F.lit(1))).first()
     word_shards = max(12, -(-total[0] // SHARD_KEYS))
     words = count_words(blocks, word_shards)
@@ -349,7 +355,7 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
                 before = np.r_[0, own[:-1]]
                 before[first] = n[b.start]
                 code = code[where]
-                both = np.where(code == MISS, 0.0, 10.0 ** (-STEP * code)) + np.where(before > 0, 1 - WEIGHT, 1.0) * p
+                both = np.where(code == MISS, 0.0, 10.0 ** (-STEP * code)) + MASS / (before + MASS) * p
                 yield pd.DataFrame({"doc_id": pd.array(list(b.ids), "Int64"), "held_out": b.held == 1, "n_tokens": b.lengths.astype(np.int64),
                                     "n_known": np.add.reduceat((own > 0).astype(np.int64), first), "train_tokens": n_all,
                                     "base_score": np.add.reduceat(np.log10(p), first), "score": np.add.reduceat(np.log10(np.minimum(both, 1.0)), first)})
