@@ -4,36 +4,84 @@ is written in parallel, one file per partition."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from biasframe.schema import SUBMISSION_SCHEMA
+from biasframe.sources.splits import csv_records, json_records, pieces
 
 
-def read_annotated_csv(spark: SparkSession, path: str, schema: T.StructType,
+def _typed(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """The fields of CSV records by place: an empty field is NULL, as is one that is
+    no value of its type, and NaN (the reference's NaN never passes a threshold)."""
+    cols = []
+    for i, f in enumerate(schema.fields):
+        v = F.nullif(F.get("fields", F.lit(i)), F.lit(""))
+        if not isinstance(f.dataType, T.StringType):
+            v = F.btrim(v).try_cast(f.dataType)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            v = F.nanvl(v, F.lit(None).cast(f.dataType))
+        cols.append(v.alias(f.name))
+    return records.select(*cols)
+
+
+def _is_header() -> Column:
+    return (F.col("start") == 0) & (F.col("seq") == 0) & (F.col("part") == 0)
+
+
+def read_annotated_csv(spark: SparkSession, path: str | list[str], schema: T.StructType,
                        encoding: str = "UTF-8") -> DataFrame:
     """A1/A2: CSV with header; quoted newlines and doubled quotes are read
-    as in pandas; an empty field is NULL; NaN becomes NULL (the reference's
-    NaN never passes a threshold)."""
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-          .option("escape", '"').option("encoding", encoding).csv(path))
-    fixes = {f.name: F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType))
-             for f in schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return df.withColumns(fixes) if fixes else df
+    as in pandas; an empty field is NULL. A file is read in many tasks, whatever
+    its fields hold (``splits``)."""
+    return _typed(csv_records(spark, path, encoding).where(~_is_header()), schema)
+
+
+def csv_header(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> list[str]:
+    """The column names of CSV files: the first record of the first file."""
+    first = csv_records(spark, path, encoding).where(_is_header()).orderBy("file").limit(1).collect()
+    return [n.removeprefix("\ufeff") for n in first[0].fields] if first else []
 
 
-def csv_to_json(spark: SparkSession, csv_path: str, json_path: str, mode: str = "overwrite") -> None:
+def csv_to_json(spark: SparkSession, csv_path: str, json_path: str, mode: str = "overwrite", encoding: str = "UTF-8") -> None:
     """A3: CSV -> JSON records with every value kept as a string."""
-    (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("inferSchema", False).csv(csv_path)
-          .write.mode(mode).json(json_path))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in csv_header(spark, csv_path, encoding)])
+    read_annotated_csv(spark, csv_path, schema, encoding).write.mode(mode).json(json_path)
+
+
+def read_json_records(spark: SparkSession, path: str | list[str], schema: T.StructType, multiline: bool = True) -> DataFrame:
+    """A4: JSON records: files of one array each when ``multiline``, read in many
+    tasks (``splits``); else a record a line."""
+    if not multiline:
+        return spark.read.schema(schema).json(path)
+    return json_records(spark, path).select(F.from_json("value", schema).alias("_r")).select("_r.*")
+
+
+def read_json_lists(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A4: files of one array of token lists each -> tokens."""
+    return json_records(spark, path, "]").select(F.from_json("value", "array<string>").alias("tokens"))
+
+
+def write_json_arrays(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Each part file one JSON array, a record a line."""
+    if len(df.columns) == 1 and isinstance(df.schema[0].dataType, T.ArrayType):
+        rows = df.select(F.to_json(df.columns[0]).alias("value"))
+    else:
+        rows = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
+    def enclose(batches):
+        opened, held = False, None
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                if held is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([held + ","])], names=["value"])
+                held, opened = ("" if opened else "[") + text, True
+        yield pa.RecordBatch.from_arrays([pa.array([held + "]" if opened else "[]"])], names=["value"])
 
-def read_json_records(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame:
-    """A4: JSON records (a JSON array per file when ``multiline``)."""
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+    rows.mapInArrow(enclose, "value string").write.mode(mode).text(path)
 
 
 def write_json(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> None:
@@ -47,16 +95,14 @@ def write_json(df: DataFrame, path: str, partition_by: str | None = None, mode:
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     """Text lines ``word v1 ... vd`` -> (word, vector array<float>).
     A word listed twice keeps its last line (the reference's dict
-    overwrite): line order is the file order (partition, then offset)."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_line"),
-                                         F.split(F.rtrim(F.col("value")), " ").alias("_p"))
+    overwrite), in the order of file names, then of lines."""
+    lines = pieces(spark, path, "\n").select("file", "start", "line", F.split(F.rtrim(F.col("raw").cast("string")), " ").alias("_p"))
     rows = lines.where(F.size("_p") > 1).select(
-        "_line", F.element_at("_p", 1).alias("word"),
+        F.struct("file", "start", "line").alias("_at"), F.element_at("_p", 1).alias("word"),
         F.slice("_p", 2, F.size("_p") - 1).cast("array<float>").alias("vector"))
-    # last line per word by a hash aggregation on fixed-width values, then the
-    # vector of that line by an equi-join (no sort-based aggregation on arrays)
-    last = rows.groupBy("word").agg(F.max("_line").alias("_line"))
-    return rows.join(last, ["word", "_line"]).select("word", "vector")
+    # the place of each word's last line first: the vectors of other lines aren't shuffled twice
+    last = rows.groupBy("word").agg(F.max("_at").alias("_at"))
+    return rows.join(last, ["word", "_at"]).select("word", "vector")
 
 
 def write_word_vectors(df: DataFrame, path: str, mode: str = "overwrite") -> None:
