@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["bias_report", "text_queries", "profile_queries", "dataset_queries", "vocab_queries", "quality_queries", "model_queries", "baseline"]
+MODULES = ["bias_report", "source_queries", "text_queries", "profile_queries", "dataset_queries", "vocab_queries", "quality_queries", "model_queries", "baseline"]
 
 
 def registry() -> dict:

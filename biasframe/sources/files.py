@@ -126,6 +126,11 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SUBMISSION_SCHEMA).option("header", True).csv(path)
 
 
+def repeated(df: DataFrame, key: str = "id") -> DataFrame:
+    """A10: (key, n) of the keys that occur more than once."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def checked_unique(df: DataFrame, key: str = "id") -> DataFrame:
     """A10: pass rows through, failing the job if a key repeats."""
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
@@ -150,6 +155,12 @@ def load_pipeline_model(path: str):
     return PipelineModel.load(path)
 
 
+def load_model(path: str):
+    """A fitted model of any kind, by the class that its metadata name."""
+    from pyspark.ml.util import DefaultParamsReader
+    return DefaultParamsReader.loadParamsInstance(path, SparkSession.getActiveSession())
+
+
 def volume_report(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
     """(table, n_rows, n_columns) - one count per table, run by Spark."""
     out = None
