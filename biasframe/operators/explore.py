@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biasframe.functions.labels import above, below
-from biasframe.operators.ordering import attach_row, dense_index
+from biasframe.operators.ordering import attach_row, stored
+from biasframe.operators.selection import quantiles
 from biasframe.schema import IDENTITY_COLUMNS
 
 
@@ -21,44 +22,30 @@ def _long(df: DataFrame, cols: Sequence[str], key: str = "column", val: str = "v
         list(ids), list(cols), key, val)
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    parts: int | None = None) -> DataFrame:
-    """(column, q, value): exact quantiles with linear interpolation (pandas).
-
-    The non-null values of all columns are sorted once, distributed
-    (``dense_index``); the wanted positions per column form a small table
-    (#columns x #probs x 2 rows) that is joined on (column, position)."""
-    vals = _long(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    ranked = dense_index(vals, ["column", "value"], name="_i", parts=parts)
-    stats = ranked.groupBy("column").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    targets = (stats.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
-               .withColumn("_h", (F.col("_n") - 1) * F.col("q"))
-               .withColumn("_lo", F.floor("_h").cast("long"))
-               .withColumn("_hi", F.ceil("_h").cast("long")))
-    ends = targets.select("column", "q", "_h", "_lo", F.explode(F.array(
-        F.struct(F.lit("lo").alias("role"), (F.col("_first") + F.col("_lo")).alias("_i")),
-        F.struct(F.lit("hi").alias("role"), (F.col("_first") + F.col("_hi")).alias("_i")))).alias("e"))
-    ends = ends.select("column", "q", "_h", "_lo", "e.role", "e._i")
-    got = ranked.join(F.broadcast(ends), ["column", "_i"])
-    piv = got.groupBy("column", "q", "_h", "_lo").agg(
-        F.max(F.when(F.col("role") == "lo", F.col("value"))).alias("_vlo"),
-        F.max(F.when(F.col("role") == "hi", F.col("value"))).alias("_vhi"))
-    frac = F.col("_h") - F.col("_lo")
-    return piv.select("column", "q", (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
-
-
-def describe(df: DataFrame, cols: Sequence[str], digits: int = 9, parts: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(column, q, value): exact quantiles with linear interpolation (pandas), by
+    counts (``selection``): a few scans of the columns, no sort."""
+    found = quantiles(stored(df.select(*cols)), cols, probs)
+    return df.sparkSession.createDataFrame([(c, float(p), v) for c, own in found.items() for p, v in own.items() if v is not None],
+                                           "column string, q double, value double")
+
+
+def describe(df: DataFrame, cols: Sequence[str], digits: int = 9) -> DataFrame:
     """Count, mean, std (sample), min, 25 %, 50 %, 75 %, max per column,
-    one row per column. Quantiles are exact (``exact_quantiles``)."""
-    long = _long(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    base = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.round(F.avg("value"), digits).alias("mean"),
-        F.round(F.stddev_samp("value"), digits).alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75], parts)
-    piv = qs.groupBy("column").agg(*[F.round(F.max(F.when(F.col("q") == p, F.col("value"))), digits).alias(n)
-                                     for p, n in [(0.25, "q25"), (0.5, "q50"), (0.75, "q75")]])
-    return base.join(piv, "column", "left")
+    one row per column with values. Quartiles are exact (``exact_quantiles``)."""
+    narrow = stored(df.select(*cols))
+    aggregates = []
+    for i, c in enumerate(cols):
+        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        aggregates += [F.count(v).alias(f"count_{i}"), F.avg(v).alias(f"mean_{i}"), F.stddev_samp(v).alias(f"std_{i}"), F.min(v).alias(f"min_{i}"), F.max(v).alias(f"max_{i}")]
+    found, base = quantiles(narrow, cols, [0.25, 0.5, 0.75]), narrow.agg(*aggregates)
+    spark = df.sparkSession
+    quartiles = spark.createDataFrame([(c, *found[c].values()) for c in cols], "column string, q25 double, q50 double, q75 double")
+    rows = base.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{n}_{i}").alias(n) for n in ("count", "mean", "std", "min", "max")])
+                                           for i, c in enumerate(cols)])).alias("r")).select("r.*").where("count > 0")
+    return rows.join(F.broadcast(quartiles), "column").select(
+        "column", "count", F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"), "min", "max",
+        *[F.round(q, digits).alias(q) for q in ("q25", "q50", "q75")])
 
 
 def group_means(df: DataFrame, key: str, cols: Sequence[str], digits: int = 9) -> DataFrame:
@@ -101,8 +88,7 @@ def histogram(df: DataFrame, value: Column | str, bins: int, by: Sequence[str] =
     if hi is not None:
         rng = rng.withColumn("_hi", F.lit(float(hi)))
     width = F.col("_hi") - F.col("_lo")
-    # one row per group: bounded by the number of groups
-    joined = vals.join(F.broadcast(rng), list(by)) if by else attach_row(vals, rng)
+    joined = vals.join(rng, list(by)) if by else attach_row(vals, rng)  # broadcast only if the table of groups is small
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("_v") - F.col("_lo")) * bins / width), F.lit(bins - 1))).cast("int")
     counts = (joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from biasframe.functions.labels import at_least, equals_one
 from biasframe.functions.text import as_text
 from biasframe.operators.ordering import dense_index
+from biasframe.operators.selection import select_ranks
 from biasframe.schema import (APPROVED_RATING, IDENTITY_ANNOTATOR_THRESHOLD, IDENTITY_COLUMNS,
                               LABEL_THRESHOLD, SCORED_IDENTITIES, SUBTYPE_COLUMNS,
                               TOXICITY_ANNOTATOR_THRESHOLD)
@@ -84,9 +85,9 @@ def label_matrix(cols: Sequence[str]) -> Column:
 
 def label_index(df: DataFrame, col: str, out: str) -> DataFrame:
     """Index categories in sorted order (0-based), as ``LabelEncoder``.
-    The distinct categories are few; their order is the sorted order."""
+    Only the distinct categories are sorted (distributed), and joined back."""
     cats = df.select(F.col(col).alias("_cat")).where(F.col("_cat").isNotNull()).distinct()
-    ranked = dense_index(cats, ["_cat"], name=out, parts=1)
+    ranked = dense_index(cats, ["_cat"], name=out)
     return df.join(ranked.withColumnRenamed("_cat", col), col, "left")
 
 
@@ -96,7 +97,20 @@ def head(df: DataFrame, n: int, order: Sequence[str] = ("id",)) -> DataFrame:
 
 
 def row_at(df: DataFrame, position: int, order: Sequence[str] = ("id",)) -> DataFrame:
-    """The row at a 0-based position of an explicit order."""
+    """The row at a 0-based position of an explicit order (NULLs first). With a
+    column of whole numbers its value is found by counts, and only rows that
+    share it are ordered; other orders are sorted, distributed."""
+    c = order[0]
+    if len(order) == 1 and isinstance(df.schema[c].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        missing = df.where(F.col(c).isNull()).count()
+        if position >= missing:
+            at = select_ranks(df, {c: F.col(c)}, lambda n: {c: [position - missing]}, whole=True)[c].get(position - missing)
+            if at is None:
+                return df.limit(0)
+            rows, position = df.where(F.col(c) == at.value), position - missing - at.below
+            if at.equal == 1:
+                return rows
+            return dense_index(rows, [c], name="_pos").where(F.col("_pos") == position).drop("_pos")
     return (dense_index(df, list(order), name="_pos")
             .where(F.col("_pos") == position).drop("_pos"))
 

@@ -4,10 +4,10 @@ A window without ``PARTITION BY`` (or partitioned by a few hot keys) runs in
 one task. Two helpers replace it everywhere in the package:
 
 * ``running_sums_below`` - exclusive running sums of value columns within
-  groups, in the order of one column. Rows are range-partitioned on the order
-  column, so every task holds one contiguous slice of the order; per-slice
-  running sums are computed locally and the slice totals (one row per group and
-  slice: a bounded table) supply the carry-in.
+  groups, in the order of one column. Rows are range-partitioned on (group,
+  order), so every task holds one contiguous slice; per-slice running sums are
+  computed locally, and the one group that enters a slice from the one before it
+  (at most one a slice) gets a carry-in.
 * ``dense_index`` - consecutive 0-based positions in a total order (the
   DataFrame form of ``zipWithIndex``): global sort, per-partition counts, and an
   offset per partition.
@@ -15,6 +15,7 @@ one task. Two helpers replace it everywhere in the package:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder and read back:
+    for narrow columns that are scanned several times. Unlike a checkpoint it
+    prunes columns, and the planner knows its size."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _by_range(df: DataFrame, parts: int | None, *keys: Column) -> DataFrame:
     """Range-partition on ``keys``. Without an explicit count the shuffle uses
     ``spark.sql.shuffle.partitions`` (sized for the cluster) and AQE may merge
@@ -50,22 +60,27 @@ def running_sums_below(df: DataFrame, group_cols: Sequence[str], order_col: str,
     ``order_col`` is strictly smaller. Input rows must be distinct on
     ``group_cols + [order_col]`` (e.g. the output of a ``groupBy``).
 
-    No task ever holds more than one range slice: the slice count bounds the
-    per-task work at ``rows / parts`` whatever the group sizes are."""
+    Rows are ranged on (group, order), so a group's rows are neighbours: most
+    groups lie in one slice and need no carry. Only a group that goes on over the
+    edge of a slice has one, so the carry table has fewer rows than there are
+    slices, however many groups there are. No task holds more than one slice."""
     g = list(group_cols)
-    ranged = materialize(_by_range(df, parts, F.col(order_col))
+    ranged = materialize(_by_range(df, parts, *[F.col(c) for c in g], F.col(order_col))
                          .withColumn("_slice", F.spark_partition_id()))
     inner = Window.partitionBy(*g, "_slice").orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, -1)
     local = ranged.select("*", *[F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"_in_{v}")
                                  for v in value_cols])
-    # one row per (group, slice): at most (#groups x parts) rows
-    totals = local.groupBy(*g, "_slice").agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
-    carry_w = Window.partitionBy(*g).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*g, "_slice", *[F.coalesce(F.sum(f"_tot_{v}").over(carry_w), F.lit(0))
-                                          .alias(f"_carry_{v}") for v in value_cols])
-    out = local.join(F.broadcast(carry), on=[*g, "_slice"], how="inner")
-    return out.select(*df.columns, *[(F.col(f"_in_{v}") + F.col(f"_carry_{v}")).alias(f"{v}{suffix}")
+    totals = ranged.groupBy(*g, "_slice").agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
+    before = Window.partitionBy(*g).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    later = totals.select(*[F.col(c).alias(f"_g_{c}") for c in g], F.col("_slice").alias("_at"), F.lag("_slice").over(Window.partitionBy(*g).orderBy("_slice")).alias("_last"),
+                          *[F.sum(f"_tot_{v}").over(before).alias(f"_carry_{v}") for v in value_cols])
+    carry = later.where(F.col("_last").isNotNull()).drop("_last")  # slices that a group enters from the one before
+    same = F.col("_slice") == F.col("_at")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    out = local.join(F.broadcast(carry), same, "left")  # at most one row a slice
+    return out.select(*df.columns, *[(F.col(f"_in_{v}") + F.coalesce(F.col(f"_carry_{v}"), F.lit(0))).alias(f"{v}{suffix}")
                                      for v in value_cols])
 
 

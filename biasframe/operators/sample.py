@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biasframe.functions.labels import above, below
-from biasframe.operators.ordering import attach_row, dense_index
+from biasframe.operators.ordering import dense_index
+from biasframe.operators.selection import smallest
 
 TWO_32 = 4294967296
 
@@ -36,8 +37,9 @@ def shuffle(df: DataFrame, id_col: str = "id", seed: int = 0) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, id_col: str = "id", seed: int = 0) -> DataFrame:
-    """H2: exactly ``min(n, rows)`` rows (per-partition top-n, then merge)."""
-    return df.orderBy(row_hash("sample", id_col, seed), F.col(id_col)).limit(n)
+    """H2: exactly ``min(n, rows)`` rows, those of the smallest hashes. The nth hash
+    is found by counts (``selection``), so no task gathers the sample."""
+    return smallest(df, row_hash("sample", id_col, seed), n, id_col)
 
 
 def split_flag(fraction: float, id_col: str = "id", seed: int = 0) -> Column:
@@ -55,12 +57,10 @@ def train_test_split(df: DataFrame, test_fraction: float, id_col: str = "id",
 def balanced_sample(df: DataFrame, n: int, label: str = "target", toxic_share: float = 0.5,
                     id_col: str = "id", seed: int = 0) -> DataFrame:
     """H4: ``n*share`` toxic rows (label > 0.5) and as many non-toxic rows
-    (label < 0.5); rows equal to 0.5 are skipped. Each class is a bounded
-    top-k by hash, so no class is gathered into one task."""
-    k = int(n * toxic_share)
-    tox = df.where(above(label, 0.5)).orderBy(row_hash("balanced", id_col, seed), F.col(id_col)).limit(k)
-    non = df.where(below(label, 0.5)).orderBy(row_hash("balanced", id_col, seed), F.col(id_col)).limit(k)
-    return tox.unionByName(non)
+    (label < 0.5); rows equal to 0.5 are skipped. Each class is cut at its own
+    nth hash, found by counts, so no class is gathered into one task."""
+    k, key = int(n * toxic_share), row_hash("balanced", id_col, seed)
+    return smallest(df.where(above(label, 0.5)), key, k, id_col).unionByName(smallest(df.where(below(label, 0.5)), key, k, id_col))
 
 
 def holdout_last(df: DataFrame, fraction: float, order: list[str] | None = None) -> DataFrame:
@@ -78,9 +78,5 @@ def fold_column(k: int, id_col: str = "id", seed: int = 0) -> Column:
 
 
 def sample_like(train: DataFrame, other: DataFrame, id_col: str = "id", seed: int = 0) -> DataFrame:
-    """H7: as many rows of ``train`` as ``other`` has, by hash order. The row
-    count is a one-row aggregate attached to the ranked rows; no driver
-    round trip."""
-    n_other = other.agg(F.count(F.lit(1)).alias("_want"))
-    ranked = dense_index(train, [row_hash("like", id_col, seed), F.col(id_col)], name="_pos")
-    return attach_row(ranked, n_other).where(F.col("_pos") < F.col("_want")).drop("_pos", "_want")
+    """H7: as many rows of ``train`` as ``other`` has, by hash order."""
+    return smallest(train, row_hash("like", id_col, seed), other.count(), id_col)

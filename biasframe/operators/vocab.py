@@ -15,6 +15,7 @@ otherwise the join shuffles and AQE splits partitions of frequent words.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from biasframe.operators.ordering import attach_row, dense_index
 DEFAULT_FILTERS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 NEWLINE_TAB_FILTERS = "\n\t"
 # --- end of fixed values ----------------------------------------------------
+#: A place in the corpus as one number.
+_PLACE = "decimal(38,0)"
 
 
 def _c(c: Column | str) -> Column:
@@ -61,21 +64,28 @@ def tokenize(corp: DataFrame, filters: str = DEFAULT_FILTERS, lower: bool = True
 def vocabulary_from_tokens(tok: DataFrame) -> DataFrame:
     """(word, word_count, word_index) from ``tokenize`` rows.
 
-    Three hash aggregations (a struct minimum would force a sort-based one): per
-    (word, document) the count and first position (combined map-side, where the
-    document's tokens live), per (word, part) the total and the first document
-    with its first position, and per word the same of the first part."""
-    per_doc = tok.groupBy("word", "part", "doc").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_p"))
-    per_part = per_doc.groupBy("word", "part").agg(F.sum("_n").alias("_n"), F.min("doc").alias("_d"), F.min_by("_p", "doc").alias("_p"))
-    stats = per_part.groupBy("word").agg(F.sum("_n").alias("word_count"), F.min("part").alias("_k"),
-                                         F.min_by("_d", "part").alias("_d"), F.min_by("_p", "part").alias("_p"))
-    ranked = dense_index(stats, [F.desc("word_count"), F.col("_k"), F.col("_d"), F.col("_p"), F.col("word")], name="_r")
+    One hash aggregation: the count, and the first appearance as the least of one
+    fixed-width number that holds part, document and position. Both are combined
+    map-side, so what is shuffled is a row per distinct word and task."""
+    return _ranked(tok.select("word", _first_place().alias("_base"), "pos"))
+
+
+def _first_place() -> Column:
+    """The place of a document's first token in the corpus as one number: the part,
+    then the 64-bit id, then ten digits for the position."""
+    part, doc = F.col("part").cast("long").cast(_PLACE), F.col("doc").cast("long").cast(_PLACE)
+    return part * F.lit(Decimal(10**30)) + (doc + F.lit(Decimal(2**63))) * F.lit(Decimal(10**10))
+
+
+def _ranked(tok: DataFrame) -> DataFrame:
+    stats = tok.groupBy("word").agg(F.count(F.lit(1)).alias("word_count"), F.min((F.col("_base") + F.col("pos")).cast(_PLACE)).alias("_first"))
+    ranked = dense_index(stats, [F.desc("word_count"), F.asc_nulls_last("_first"), F.col("word")], name="_r")
     return ranked.select("word", "word_count", (F.col("_r") + 1).alias("word_index"))
 
 
 def fit_vocabulary(corp: DataFrame, filters: str = DEFAULT_FILTERS, lower: bool = True) -> DataFrame:
     """(word, word_count, word_index) over a ``corpus`` frame."""
-    return vocabulary_from_tokens(tokenize(corp, filters, lower))
+    return _ranked(corp.select(_first_place().alias("_base"), F.posexplode(tokens("text", filters, lower)).alias("pos", "word")))
 
 
 def vocabulary_size(vocab: DataFrame) -> DataFrame:
