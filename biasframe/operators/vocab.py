@@ -6,10 +6,9 @@ grouped aggregation over exploded tokens (a frequent word is combined
 map-side); ranking is a distributed sort of the distinct words
 (``dense_index``), never a single-task window.
 
-Encoding joins (document, position, word) rows with the vocabulary and
-re-assembles each document's ids in position order. The vocabulary side is
-broadcast only when it is capped (``num_words``), which bounds its size;
-otherwise the join shuffles and AQE splits partitions of frequent words.
+Encoding looks up the words of each document in place (``gather``): the commonest
+words of the vocabulary are sent to all tasks, of the others each document asks
+for every distinct one once.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from biasframe.operators.gather import encode_arrays
 from biasframe.operators.ordering import attach_row, dense_index
 
 # --- fixed values (tokenizer defaults the reference relies on) -------------
@@ -93,28 +93,12 @@ def vocabulary_size(vocab: DataFrame) -> DataFrame:
     return vocab.agg((F.count(F.lit(1)) + 1).alias("vocab_size"))
 
 
-def encode_tokens(doc_ids: DataFrame, tok: DataFrame, vocab: DataFrame, id_col: str = "id",
-                  num_words: int | None = None, out: str = "ids") -> DataFrame:
-    """F6/F8 on (doc, pos, word) token rows: word ids in text order; unknown
-    words (and, with ``num_words``, indexes >= num_words) are dropped; every
-    id of ``doc_ids`` gets a row (an empty array without known words)."""
-    v = vocab.select("word", "word_index")
-    if num_words is not None:
-        v = F.broadcast(v.where(F.col("word_index") < num_words))  # at most num_words rows
-    hit = tok.select(F.col("doc").alias(id_col), "pos", "word").join(v, "word")
-    seqs = (hit.groupBy(id_col)
-               .agg(F.array_sort(F.collect_list(F.struct("pos", "word_index"))).alias("_s"))
-               .select(id_col, F.col("_s.word_index").alias(out)))
-    return (doc_ids.select(id_col).join(seqs, id_col, "left")
-                   .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<bigint>"))))
-
-
 def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text: str = "text",
            filters: str = DEFAULT_FILTERS, lower: bool = True, num_words: int | None = None,
            out: str = "ids") -> DataFrame:
-    """F6/F8 on a text column."""
-    tok = docs.select(F.col(id_col).alias("doc"), F.posexplode(tokens(text, filters, lower)).alias("pos", "word"))
-    return encode_tokens(docs, tok, vocab, id_col, num_words, out)
+    """Word ids in text order, a row for every row of ``docs``; unknown words
+    (and, with ``num_words``, indexes >= num_words) are dropped."""
+    return encode_arrays(docs.select(id_col, tokens(text, filters, lower).alias("_words")), "_words", vocab, num_words, out)
 
 
 def max_length(seqs: DataFrame, col: str = "ids") -> DataFrame:
@@ -122,6 +106,15 @@ def max_length(seqs: DataFrame, col: str = "ids") -> DataFrame:
     return seqs.agg(F.coalesce(F.max(F.size(col)), F.lit(0)).alias("max_len"))
 
 
+def longest_known(docs: DataFrame, words: str, vocab: DataFrame) -> DataFrame:
+    """F9 without encoding: the largest number of known words of a row (an array of
+    ``words`` each). Each row's distinct words are looked up with their counts."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(words).alias("_words"))
+    rows = numbered.select("_row", F.explode("_words").alias("word")).groupBy("_row", "word").agg(F.count(F.lit(1)).alias("_n"))
+    known = rows.join(vocab.select("word"), "word", "left_semi").groupBy("_row").agg(F.sum("_n").alias("_n"))
+    return known.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("max_len"))
+
+
 def pad_post(ids: Column | str, length: Column | int) -> Column:
     """post-pad with 0 to ``length`` (longer lists keep their last items,
     the tokenizer's default truncation side)."""

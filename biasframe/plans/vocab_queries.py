@@ -12,7 +12,8 @@ from biasframe.operators import normalize as N
 from biasframe.operators import partition as P
 from biasframe.operators import sample as H
 from biasframe.operators import vocab as V
-from biasframe.operators.ordering import attach_row, materialize, spread
+from biasframe.operators.gather import PIECE, encode_arrays
+from biasframe.operators.ordering import attach_row, spread, stored
 from biasframe.schema import SCORED_IDENTITIES, SUBTYPE_COLUMNS
 from biasframe.sources.comments import comments, with_comments
 from biasframe.sources.tables import table
@@ -90,17 +91,16 @@ def vocabulary_size_sql():
     return f"WITH {_doc_corpus_sql()}, {_vocab_sql(V.NEWLINE_TAB_FILTERS)} SELECT count(*) + 1 AS vocab_size FROM vocab"
 
 
-def _doc_sequences(spark, sf_dir):
-    """Clean and tokenise once (materialised), then fit and encode from the
-    same token rows."""
-    corp = doc_corpus(spark, sf_dir)
-    tok = materialize(V.tokenize(corp, V.NEWLINE_TAB_FILTERS))
-    vocab = V.vocabulary_from_tokens(tok)
-    return V.encode_tokens(corp.select(F.col("doc").alias("id")), tok, vocab)
+def _doc_words(spark, sf_dir):
+    """The documents' words as arrays, cleaned and cut once, and their vocabulary."""
+    docs = stored(doc_corpus(spark, sf_dir).select("part", "doc", V.tokens("text", V.NEWLINE_TAB_FILTERS).alias("words")))
+    vocab = V.vocabulary_from_tokens(docs.select("part", "doc", F.posexplode("words").alias("pos", "word")))
+    return docs.select(F.col("doc").alias("id"), "words"), vocab
 
 
 def encode_docs(spark, sf_dir):
-    return _doc_sequences(spark, sf_dir)
+    docs, vocab = _doc_words(spark, sf_dir)
+    return encode_arrays(docs, "words", vocab)
 
 
 def _encode_sql(cap: str = "") -> str:
@@ -116,7 +116,8 @@ def encode_docs_sql():
 
 
 def max_len(spark, sf_dir):
-    return V.max_length(_doc_sequences(spark, sf_dir)).select(F.col("max_len").cast("long"))
+    docs, vocab = _doc_words(spark, sf_dir)
+    return V.longest_known(docs, "words", vocab).select(F.col("max_len").cast("long"))
 
 
 def max_len_sql():
@@ -142,14 +143,14 @@ def pad_post_sql():
 
 def pad_pre(spark, sf_dir):
     s = _conv_seqs(spark, sf_dir, NUM_WORDS)
-    return s.select("id", V.pad_pre("ids", 16).alias("padded"))
+    return s.select("id", V.pad_pre("ids", SEQ_LEN).alias("padded"))
 
 
 def pad_pre_sql():
     cap = f"AND v.word_index < {NUM_WORDS}"
     return (f"WITH {_conv_corpus_sql()}, {_vocab_sql(V.DEFAULT_FILTERS)}, {_encode_sql(cap)}, "
-            "k AS (SELECT id, CASE WHEN len(ids) > 16 THEN ids[len(ids) - 15:] ELSE ids END AS kept FROM seqs) "
-            "SELECT id, list_concat(list_transform(range(16 - len(kept)), lambda x: 0::BIGINT), kept) AS padded FROM k")
+            f"k AS (SELECT id, CASE WHEN len(ids) > {SEQ_LEN} THEN ids[len(ids) - {SEQ_LEN - 1}:] ELSE ids END AS kept FROM seqs) "
+            f"SELECT id, list_concat(list_transform(range({SEQ_LEN} - len(kept)), lambda x: 0::BIGINT), kept) AS padded FROM k")
 
 
 def raw_docs(spark, sf_dir):
@@ -261,22 +262,43 @@ def oov_words_sql():
             "SELECT word FROM vocab WHERE word_index - 1 NOT IN (SELECT vec_id FROM embeddings)")
 
 
-def flatten(spark, sf_dir):
-    vocab = conv_vocab(spark, sf_dir)
+def _flat(spark, sf_dir, docs, vocab):
+    seqs = stored(V.encode(docs, vocab))
     m = G.embedding_matrix(vocab, _vectors(spark, sf_dir, vocab), EMBED_DIM)
-    seqs = V.pad_to_longest(_conv_seqs(spark, sf_dir, vocab=vocab))
-    return G.flatten_vectors(seqs, m, dim=EMBED_DIM)
+    return G.flatten_vectors(attach_row(seqs, V.max_length(seqs)), m, EMBED_DIM, length=F.col("max_len"))
+
+
+def flatten(spark, sf_dir):
+    """G4 on conversation turns."""
+    return _flat(spark, sf_dir, conv_docs(spark, sf_dir), conv_vocab(spark, sf_dir))
+
+
+def flatten_docs(spark, sf_dir):
+    """G4 on the document texts."""
+    docs = raw_docs(spark, sf_dir)
+    return _flat(spark, sf_dir, docs, V.fit_vocabulary(V.corpus([docs]))).select(
+        "id", "part", F.transform("flat", lambda x: F.round(x.cast("double"), 6)).alias("flat"), "padding")
+
+
+def _pieces_sql(values: str = "flatten(list(coalesce(mat.vector, {zeros}) ORDER BY x.pos))") -> str:
+    return (f"{_encode_sql()}, m AS (SELECT max(len(ids)) AS n FROM seqs), "
+            f"p AS (SELECT id, ids, n, unnest(range(greatest((len(ids) - 1) // {PIECE}, 0) + 1)) AS part FROM seqs, m), "
+            f"x AS (SELECT id, part, unnest(ids[part * {PIECE} + 1:(part + 1) * {PIECE}]) AS wi, "
+            f"unnest(generate_series(1, len(ids[part * {PIECE} + 1:(part + 1) * {PIECE}]))) AS pos FROM p), "
+            f"mat AS (SELECT v.word_index, e.embedding AS vector FROM vocab v JOIN embeddings e ON e.vec_id = v.word_index - 1), "
+            f"f AS (SELECT x.id, x.part, {values.format(zeros=_zeros_sql())} AS flat FROM x LEFT JOIN mat ON mat.word_index = x.wi GROUP BY x.id, x.part), "
+            f"pieces AS (SELECT p.id, p.part::INTEGER AS part, coalesce(f.flat, []) AS flat, "
+            f"(CASE WHEN p.part = greatest((len(ids) - 1) // {PIECE}, 0) THEN (n - len(ids)) * {EMBED_DIM} ELSE 0 END)::BIGINT AS padding "
+            "FROM p LEFT JOIN f ON f.id = p.id AND f.part = p.part)")
 
 
 def flatten_sql():
-    return (f"WITH {_conv_corpus_sql()}, {_vocab_sql(V.DEFAULT_FILTERS)}, {_encode_sql()}, "
-            "m AS (SELECT max(len(ids)) AS n FROM seqs), "
-            "p AS (SELECT id, list_concat(ids, list_transform(range(m.n - len(ids)), lambda x: 0::BIGINT)) AS padded FROM seqs, m), "
-            "x AS (SELECT id, unnest(padded) AS wi, unnest(generate_series(0, len(padded) - 1)) AS pos FROM p), "
-            f"mat AS (SELECT v.word_index, coalesce(e.embedding, {_zeros_sql()}) AS vector FROM vocab v "
-            "LEFT JOIN embeddings e ON e.vec_id = v.word_index - 1) "
-            f"SELECT x.id, flatten(list(coalesce(mat.vector, {_zeros_sql()}) ORDER BY x.pos)) AS flat "
-            "FROM x LEFT JOIN mat ON mat.word_index = x.wi GROUP BY x.id")
+    return f"WITH {_conv_corpus_sql()}, {_vocab_sql(V.DEFAULT_FILTERS)}, {_pieces_sql()} SELECT id, part, flat, padding FROM pieces"
+
+
+def flatten_docs_sql():
+    return (f"WITH docs AS (SELECT 0 AS part, doc_id AS doc, text FROM documents), {_vocab_sql(V.DEFAULT_FILTERS)}, {_pieces_sql()} "
+            "SELECT id, part, list_transform(flat, lambda y: round(y::DOUBLE, 6)) AS flat, padding FROM pieces")
 
 
 def split_tagged_docs(spark, sf_dir):
@@ -350,13 +372,15 @@ def two_spaces_sql():
 
 
 def features_appended(spark, sf_dir):
-    """The flattened word vectors of a turn followed by its 30 features."""
-    from biasframe.operators.features import append_features, feature_columns
-    vocab = conv_vocab(spark, sf_dir)
-    m = G.embedding_matrix(vocab, _vectors(spark, sf_dir, vocab), EMBED_DIM)
-    flat = G.flatten_vectors(V.pad_to_longest(_conv_seqs(spark, sf_dir, vocab=vocab)), m, dim=EMBED_DIM)
-    feats = conv_docs(spark, sf_dir).select("id", F.array(*[c.cast("double") for c in feature_columns("text")]).alias("f"))
-    return flat.join(feats, "id").select("id", append_features("flat", "f").alias("vector"))
+    """The flattened word vectors of a turn followed by its 30 features, which
+    come as one more part behind the padding."""
+    from biasframe.operators.features import feature_columns
+    docs = conv_docs(spark, sf_dir)
+    flat = _flat(spark, sf_dir, docs, conv_vocab(spark, sf_dir))
+    parts = flat.select("id", "part", F.col("flat").cast("array<double>").alias("vector"), "padding")
+    last = flat.groupBy("id").agg(F.max("part").alias("_last"))
+    feats = docs.select("id", F.array(*[c.cast("double") for c in feature_columns("text")]).alias("vector"))
+    return parts.unionByName(feats.join(last, "id").select("id", (F.col("_last") + 1).alias("part"), "vector", F.lit(0).cast("long").alias("padding")))
 
 
 def features_appended_sql():
@@ -366,9 +390,11 @@ def features_appended_sql():
     cols += [S.substring_count(t, name) for name in IDENTITY_COLUMNS]
     cols += ["0", S.word_count(t)]
     feats = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in cols) + "]"
-    base = flatten_sql()
-    return (f"WITH fl AS ({base}), ft AS (SELECT conv_id * 1000 + turn AS id, {feats} AS f FROM conversations c) "
-            "SELECT fl.id, list_concat(CAST(fl.flat AS DOUBLE[]), ft.f) AS vector FROM fl JOIN ft ON ft.id = fl.id")
+    return (f"WITH {_conv_corpus_sql()}, {_vocab_sql(V.DEFAULT_FILTERS)}, {_pieces_sql()}, "
+            f"ft AS (SELECT conv_id * 1000 + turn AS id, {feats} AS vector FROM conversations c), "
+            "lst AS (SELECT id, max(part) + 1 AS part FROM pieces GROUP BY id) "
+            "SELECT id, part, CAST(flat AS DOUBLE[]) AS vector, padding FROM pieces UNION ALL "
+            "SELECT ft.id, lst.part, ft.vector, 0::BIGINT FROM ft JOIN lst ON lst.id = ft.id")
 
 
 QUERIES = {
@@ -388,6 +414,7 @@ QUERIES = {
     "g2_g3_coverage": (coverage, coverage_sql),
     "j11_oov_words": (oov_words, oov_words_sql),
     "g4_flatten_vectors": (flatten, flatten_sql),
+    "g4_flatten_documents": (flatten_docs, flatten_docs_sql),
     "g9_split_tagged_docs": (split_tagged_docs, split_tagged_docs_sql),
     "g10_attribute_tagged_docs": (attribute_tagged, attribute_tagged_sql),
     "g11_toxicity_tagged_docs": (toxicity_tagged, toxicity_tagged_sql),
