@@ -10,8 +10,9 @@ the boundary, of which those with the smallest ids are taken.
 Defined cases: null vectors, vectors with null or non-finite components and
 empty vectors take no part; vectors meet only those of their own length; a query
 never meets rows of its own id; repeated rows are candidates each; an empty
-table gives an empty result; other columns are not read. Quantised components
-are expected below 2**24 in size.
+table gives an empty result; other columns are not read. A vector whose
+quantised components have squares that sum up to 2**62 or more fails the query
+with a message: below that, no inner product leaves 64 bits.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
     x = F.col("embedding")
     fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     q = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
+    length = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.pow(F.floor(v.cast("double") * scale).cast("double"), F.lit(2)))
+    q = F.when(length < 2.0**62, q).otherwise(F.raise_error(F.lit("a vector is too long for 64-bit inner products")).cast("array<long>"))
     return vectors.where(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.size(x).alias("dim"), q.alias("q"))
 

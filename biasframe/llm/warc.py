@@ -98,7 +98,7 @@ def _field(head: Column, name: str) -> Column:
 
 
 def _number(text: Column) -> Column:
-    return F.regexp_extract(text, r"(\d{1,18})", 1).try_cast("long")
+    return F.regexp_extract(text, r"(-?\d{1,19})", 1).try_cast("long")
 
 
 def _parsed(head: Column) -> list[Column]:
@@ -159,9 +159,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         files = cut.select("file").distinct()
         parts = _with_offsets(chunks.join(files, "file", "left_semi"))
         marks = good.select("file", "off", F.struct(F.col("off").alias("at"), "succ", "_at", "_n", "whole").alias("mark"))
-        marked = parts.join(marks, ["file", "off"], "left")
+        marked = parts.select("file", "off").join(marks, ["file", "off"], "left")
         of = F.last("mark", ignorenulls=True).over(Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0))
-        owned = marked.withColumn("of", of).where("of is not null and not of.whole and off < of.succ")
+        owner = marked.withColumn("of", of).where("of is not null and not of.whole and off < of.succ")  # a file's offsets, without the texts
+        owned = parts.select("file", "off", "value").join(owner, ["file", "off"])
         joined = owned.groupBy("file", F.col("of.at").alias("off"), F.col("of._at").alias("_at"), F.col("of._n").alias("_n")).agg(
             F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("off", "value"))), lambda p: p["value"]), MAGIC).alias("value"))
         body = joined.where(F.octet_length("value") >= F.col("_at") + F.col("_n")).withColumn(
