@@ -161,6 +161,21 @@ def final_metric(bias_df: DataFrame, overall: DataFrame, power: float = POWER,
     return t.select(*[r(F.col(c)).alias(c) for c in cols], r(final).alias("final_metric"))
 
 
+def training_report(df: DataFrame, subgroups: Mapping[str, Column | str], label: Column | str, score: Column | str,
+                    threshold: float = 0.5, digits: int = 9) -> tuple[DataFrame, DataFrame]:
+    """(bias table, one row with overall AUC, power means, final metric,
+    accuracy, loss and weighted F1) of scored rows; class 1 is a score of at least
+    ``threshold``."""
+    bias, overall = bias_report(df, subgroups, label, score)
+    p = F.coalesce(_c(score) >= threshold, F.lit(False)).cast("int").alias("_p")
+    y = F.coalesce(_c(label).cast("boolean"), F.lit(False)).cast("int").alias("_y")
+    rows = df.select(p, y, _c(score).alias("_s"))
+    basic = accuracy(rows, "_p", "_y").select(F.round("accuracy", digits).alias("accuracy"))
+    loss = rows.agg(F.round(F.avg(bce("_y", "_s")), digits).alias("loss"))
+    f1 = f1_weighted(rows, "_p", "_y").select(F.round("f1_weighted", digits).alias("f1_weighted"))
+    return bias, attach_row(attach_row(attach_row(final_metric(bias, overall, digits=digits), basic), loss), f1)
+
+
 def overall_auc(df: DataFrame, score: Column | str, label: Column | str,
                 parts: int | None = None) -> DataFrame:
     """K6: one row ``overall_auc``."""

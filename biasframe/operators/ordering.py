@@ -107,6 +107,12 @@ def dense_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_i
     return out.select(*cols)
 
 
+def ranked(df: DataFrame, order: Sequence[Column | str], name: str = "position") -> DataFrame:
+    """Rows in ``order`` (a total order) with their 1-based position as a
+    column, so the order survives being written or joined."""
+    return dense_index(df, order, name=name).withColumn(name, F.col(name) + 1).orderBy(name)
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row DataFrame (a global aggregate) to
     every row as a scalar subquery: computed once, inlined as a value."""

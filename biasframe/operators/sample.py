@@ -31,9 +31,12 @@ def row_hash_sql(salt: str, id_col: str = "id", seed: int = 0) -> str:
     return f"CAST('0x' || substr(md5(concat_ws(':', '{salt}', '{seed}', CAST({id_col} AS VARCHAR))), 1, 8) AS BIGINT)"
 
 
-def shuffle(df: DataFrame, id_col: str = "id", seed: int = 0) -> DataFrame:
-    """H1: all rows in a seeded pseudo-random order (a distributed sort)."""
-    return df.orderBy(row_hash("shuffle", id_col, seed), F.col(id_col))
+def shuffle(df: DataFrame, id_col: str = "id", seed: int = 0, position: str | None = None) -> DataFrame:
+    """H1: all rows in a seeded pseudo-random order (a distributed sort), with
+    their 0-based place in a column ``position`` if named."""
+    if position is None:
+        return df.orderBy(row_hash("shuffle", id_col, seed), F.col(id_col))
+    return dense_index(df, [row_hash("shuffle", id_col, seed), F.col(id_col)], name=position)
 
 
 def sample_n(df: DataFrame, n: int, id_col: str = "id", seed: int = 0) -> DataFrame:

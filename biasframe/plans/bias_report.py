@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from biasframe.functions.labels import at_least
 from biasframe.operators import metrics as M
+from biasframe.operators.ordering import ranked
 from biasframe.schema import LABEL_THRESHOLD, SCORED_IDENTITIES
 from biasframe.sources.comments import comments, with_comments
 
@@ -38,6 +39,11 @@ def bias_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.orderBy(F.asc_nulls_last("subgroup_auc"), "subgroup")
 
 
+def ranked_bias_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I16: the places of the subgroups by rising AUC, missing ones last."""
+    return ranked(bias_table(spark, sf_dir), [F.asc_nulls_last("subgroup_auc"), F.col("subgroup")]).select("position", "subgroup", "subgroup_auc")
+
+
 def overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.overall_auc(labelled(spark, sf_dir), "score", at_least("target", LABEL_THRESHOLD))
 
@@ -95,6 +101,27 @@ SELECT s.g AS subgroup, s.subgroup_size,
 FROM s""")
 
 
+def ranked_bias_table_sql() -> str:
+    return f"SELECT row_number() OVER (ORDER BY round(subgroup_auc, 12) NULLS LAST, subgroup) AS position, subgroup, subgroup_auc FROM ({bias_table_sql()})"
+
+
+def report_of_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of a model's scores, here of the stored ones."""
+    df = labelled(spark, sf_dir)
+    return M.training_report(df, subgroup_flags(), at_least("target", LABEL_THRESHOLD), "score")[1]
+
+
+def report_of_scores_sql() -> str:
+    clipped = "least(greatest(score, 1e-7), 1 - 1e-7)"
+    return f"""
+WITH f AS ({final_score_sql()}),
+r AS ({with_comments(f"SELECT score >= 0.5e0 AS p, target >= 0.5e0 AS y, CASE WHEN target >= 0.5e0 THEN -ln({clipped}) ELSE -ln(1 - {clipped}) END AS loss FROM comments WHERE target IS NOT NULL")}),
+c AS (SELECT count(*) FILTER (WHERE p AND y) AS tp, count(*) FILTER (WHERE NOT p AND NOT y) AS tn, count(*) FILTER (WHERE p AND NOT y) AS fp,
+             count(*) FILTER (WHERE NOT p AND y) AS fn, avg(loss) AS loss, avg((p = y)::INTEGER) AS accuracy FROM r)
+SELECT f.*, round(accuracy, 9) AS accuracy, round(loss, 9) AS loss,
+       round(((tp + fn) * (2.0e0 * tp / (2 * tp + fp + fn)) + (tn + fp) * (2.0e0 * tn / (2 * tn + fn + fp))) / (tp + tn + fp + fn), 9) AS f1_weighted FROM f, c"""
+
+
 def overall_sql() -> str:
     return with_comments(f"""
 WITH h AS (SELECT score AS x, count(*) FILTER (WHERE target >= 0.5e0) AS pos,
@@ -133,6 +160,8 @@ FROM c GROUP BY article_id""")
 
 QUERIES = {
     "k5_bias_table": (bias_table, bias_table_sql),
+    "i16_ranked_bias_table": (ranked_bias_table, ranked_bias_table_sql),
+    "l7_report_of_scores": (report_of_scores, report_of_scores_sql),
     "k6_overall_auc": (overall, overall_sql),
     "k8_final_metric": (final_score, final_score_sql),
     "k1_auc_by_article": (auc_by_article, auc_by_article_sql),

@@ -8,7 +8,6 @@ from biasframe.functions.labels import at_least
 from biasframe.operators import dedup as D
 from biasframe.operators import partition as P
 from biasframe.operators import sample as H
-from biasframe.operators.ordering import dense_index
 from biasframe.schema import IDENTITY_COLUMNS, TOXICITY_PROJECTION
 from biasframe.sources.comments import comments, with_comments
 from biasframe.sources.tables import table
@@ -139,8 +138,7 @@ def attach_predictions_sql():
 
 # ------------------------------------------------------------------ H queries
 def shuffled(spark, sf_dir):
-    df = comments(spark, sf_dir).select("id")
-    return dense_index(df, [H.row_hash("shuffle"), F.col("id")], name="position")
+    return H.shuffle(comments(spark, sf_dir).select("id"), position="position")
 
 
 def shuffled_sql():

@@ -14,17 +14,20 @@ from biasframe.operators import models as ML
 from biasframe.operators import sample as H
 from biasframe.operators import vocab as V
 from biasframe.operators.features import FEATURE_NAMES, feature_columns
-from biasframe.operators.ordering import attach_row, materialize
+from biasframe.operators.joint_logit import fit
+from biasframe.operators.ordering import attach_row, materialize, stored
 from biasframe.plans.bias_report import labelled, subgroup_flags
+from biasframe.plans.text_queries import FLAG_WORDS
 from biasframe.schema import SCORED_IDENTITIES, SUBTYPE_COLUMNS
+from biasframe.sources.comments import comments, with_comments
 from biasframe.sources.files import fill_template, volume_report
 from biasframe.sources.tables import TABLES, table
 
-FOREST = {"num_trees": 20, "max_depth": 6, "seed": 7}
+FOREST = {"num_trees": 100, "max_depth": 10, "seed": 7}
 
 
 def _feature_frame(df):
-    cols = feature_columns(F.col("noisy_text"))
+    cols = feature_columns(F.col("noisy_text"), FLAG_WORDS)
     d = df.withColumn("_feats", F.array(*[c.cast("double") for c in cols]))
     return ML.with_vector(d, "_feats").drop("_feats")
 
@@ -50,48 +53,44 @@ def importances(spark, sf_dir):
 
 
 def random_search(spark, sf_dir):
-    """L2: 2 of the 4 grid points, 3 folds on a hash fold column, by AUC."""
+    """L2: 10 draws of the 64 grid points, 3 folds on a hash fold column, by AUC."""
     from pyspark.ml.classification import RandomForestClassifier
     d = materialize(_train_frame(spark, sf_dir).withColumn("fold", H.fold_column(3))
                     .select("id", "features", "label", "fold"))
     est = RandomForestClassifier(labelCol="label", featuresCol="features", seed=7)
-    cv = ML.random_search(est, d, {"numTrees": [10, 20], "maxDepth": [3, 5]}, n_iter=2,
-                          label="label", fold_col="fold", seed=0)
+    space = {"numTrees": [20, 50, 100, 200], "maxDepth": [5, 10], "featureSubsetStrategy": ["sqrt", "log2"],
+             "impurity": ["gini", "entropy"], "minInstancesPerNode": [1, 4]}
+    cv = ML.random_search(est, d, space, n_iter=10, label="label", fold_col="fold", seed=0, parallelism=4)
     rows = [(str({p.name: v for p, v in pm.items()}), float(m))
             for pm, m in zip(cv.getEstimatorParamMaps(), cv.avgMetrics)]
     return spark.createDataFrame(rows, "params string, mean_auc double")
 
 
 def multilabel(spark, sf_dir):
-    """L4: one weighted logistic model per label (target + 5 subtypes)."""
-    d = _feature_frame(labelled(spark, sf_dir))
+    """L4: the target and the 5 subtypes fitted together, one scan an iteration,
+    to convergence."""
     labels = ["target", *SUBTYPE_COLUMNS]
-    d = d.withColumns({f"y_{c}": as_class(c).cast("double") for c in labels})
-    d = d.withColumn("w", M.training_weight("target", SCORED_IDENTITIES))
-    # the features feed six fits and the scoring: computed once
-    d = materialize(d.select("id", "features", "w", *[f"y_{c}" for c in labels]))
-    models = ML.train_multilabel(d, [f"y_{c}" for c in labels], weight="w", max_iter=10)
-    out = d.select("id", "features")
-    for lab, m in models.items():
-        out = m.transform(out).withColumn(f"p_{lab}", ML.positive_probability(f"{lab}_prob")).drop(
-            f"{lab}_pred", f"{lab}_prob", f"{lab}_raw")
-    return out.drop("features")
+    feats = F.array(*[c.cast("double") for c in feature_columns(F.col("noisy_text"), FLAG_WORDS)])
+    d = labelled(spark, sf_dir).select("id", feats.alias("features"), M.training_weight("target", SCORED_IDENTITIES).alias("w"),
+                                       *[as_class(c).cast("double").alias(f"y_{c}") for c in labels])
+    d = stored(d)  # scanned once an iteration
+    model = fit(d, [f"y_{c}" for c in labels], weight="w")
+    return d.select("id", *[model.score(f"y_{c}").alias(f"p_{c}") for c in labels])
 
 
 def train_evaluate(spark, sf_dir):
-    """L6 + L7: train on the split, score the hold-out, report accuracy and the
-    bias table of the model's scores."""
+    """L6 + L7: train on the split, score the hold-out, and the whole report: the
+    bias table of the model's scores, with overall AUC, power means, final
+    metric, accuracy, loss and F1."""
     d = _train_frame(spark, sf_dir)
     model = ML.train_forest(d.where(~F.col("is_test")), "label", **FOREST)
-    s = ML.score(model, d.where(F.col("is_test")))
-    bias = M.bias_metrics(s, subgroup_flags(), at_least("target", 0.5), "prediction_score")
-    acc = M.accuracy(s, F.col("prediction"), F.col("label"))
-    return attach_row(bias, acc)
+    s = stored(ML.score(model, d.where(F.col("is_test"))).drop("features", "rawPrediction", "probability"))
+    bias, report = M.training_report(s, subgroup_flags(), at_least("target", 0.5), "prediction_score")
+    return attach_row(bias, report)
 
 
 def submission(spark, sf_dir):
     """Score the unlabelled documents and fill the id template."""
-    from biasframe.sources.comments import comments
     d = _train_frame(spark, sf_dir)
     model = ML.train_forest(d, "label", **FOREST)
     allc = comments(spark, sf_dir)
@@ -101,6 +100,59 @@ def submission(spark, sf_dir):
     return fill_template(template, preds)
 
 
+def submission_ids(spark, sf_dir):
+    """What can be told of a submission without the model: its ids, each once,
+    and predictions that are probabilities."""
+    rows = submission(spark, sf_dir)
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min((F.col("prediction") >= 0) & (F.col("prediction") <= 1)).alias("is_probability"))
+
+
+def submission_ids_sql():
+    return with_comments("SELECT id, 1::BIGINT AS n, true AS is_probability FROM comments WHERE target IS NULL")
+
+
+def forest_checks(spark, sf_dir):
+    """L1 + L5: the held-out ids, and that the class is the likelier one."""
+    s = forest_scores(spark, sf_dir)
+    return s.select("id", "label", ((F.col("pred_class") == 1) == (F.col("prediction_score") > 0.5)).alias("class_fits"))
+
+
+def forest_checks_sql():
+    return with_comments(f"SELECT id, (target >= 0.5e0)::DOUBLE AS label, true AS class_fits FROM comments WHERE target IS NOT NULL "
+                         f"AND {H.row_hash_sql('split')} < {int(0.3 * H.TWO_32)}")
+
+
+def importance_checks(spark, sf_dir):
+    """L3: one weight a feature, none negative, 1 in all."""
+    return importances(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("weight") >= 0).alias("no_negative"), F.round(F.sum("weight"), 9).alias("total"))
+
+
+def importance_checks_sql():
+    return f"SELECT {len(FEATURE_NAMES)}::BIGINT AS n, true AS no_negative, 1.0::DOUBLE AS total"
+
+
+FOREIGN = {"likes": 0.25, "funny": -0.5, "sad": 0.125}
+
+
+def foreign_scores(spark, sf_dir):
+    """A model of another library (here a few weights in a dictionary),
+    loaded once a task, scoring Arrow batches."""
+    import numpy as np
+    import pandas as pd
+
+    def predict(model, frame):
+        z = sum(w * frame[c] for c, w in model.items()) - 0.5
+        return pd.DataFrame({"id": frame["id"], "prediction": np.round(1 / (1 + np.exp(-z)), 9)})
+
+    rows = comments(spark, sf_dir).select("id", *FOREIGN)
+    return ML.score_foreign(rows, lambda: FOREIGN, predict, "id long, prediction double")
+
+
+def foreign_scores_sql():
+    z = " + ".join(f"{w}e0 * {c}" for c, w in FOREIGN.items())
+    return with_comments(f"SELECT id, round(1 / (1 + exp(-({z} - 0.5e0))), 9) AS prediction FROM comments")
+
+
 def _conv_tokens(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
@@ -153,6 +205,10 @@ QUERIES = {
     "l4_multilabel_logistic": (multilabel, None),
     "l6_l7_train_evaluate_bias": (train_evaluate, None),
     "l8_submission": (submission, None),
+    "l8_submission_ids": (submission_ids, submission_ids_sql),
+    "l1_l5_forest_checks": (forest_checks, forest_checks_sql),
+    "l3_importance_checks": (importance_checks, importance_checks_sql),
+    "l5_foreign_scores": (foreign_scores, foreign_scores_sql),
     "g5_g7_word2vec_vectors": (word2vec_vectors, None),
     "g8_vector_fallback": (vector_fallback, None),
     "a12_volume_report": (volume, volume_sql),

@@ -11,6 +11,7 @@ from biasframe.functions import text as X
 from biasframe.operators import explore as E
 from biasframe.operators import normalize as N
 from biasframe.operators.features import identity_tag_count
+from biasframe.operators.ordering import ranked
 from biasframe.schema import (IDENTITY_COLUMNS, LABEL_MATRIX_10, REACTION_COLUMNS, SCORED_IDENTITIES,
                               SUBTYPE_COLUMNS)
 from biasframe.sources.comments import comments, with_comments
@@ -302,6 +303,16 @@ def identity_toxicity(spark, sf_dir):
     return E.identity_toxicity(filled(spark, sf_dir))
 
 
+def ranked_identities(spark, sf_dir):
+    """The places of the identities by falling size."""
+    rows = E.identity_toxicity(filled(spark, sf_dir)).select("identity", "size")
+    return ranked(rows, [F.desc("size"), F.col("identity")])
+
+
+def ranked_identities_sql():
+    return f"SELECT identity, size, row_number() OVER (ORDER BY size DESC, identity) AS position FROM ({identity_toxicity_sql()})"
+
+
 def identity_toxicity_sql():
     rows = " UNION ALL ".join(
         f"SELECT '{c}' AS identity, avg(target) AS r, count(*) FILTER (WHERE target > 0.5e0) AS n_toxic, "
@@ -518,6 +529,7 @@ QUERIES = {
     "i1_describe_lineitem": (describe_lineitem, describe_lineitem_sql),
     "i2_article_means": (article_means, article_means_sql),
     "i3_identity_counts": (identity_counts, identity_counts_sql),
+    "i17_ranked_identities": (ranked_identities, ranked_identities_sql),
     "i4_identity_toxicity": (identity_toxicity, identity_toxicity_sql),
     "i5_tag_distribution": (tag_distribution, tag_distribution_sql),
     "i6_cooccurrence": (cooccurrence, cooccurrence_sql),
