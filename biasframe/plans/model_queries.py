@@ -12,10 +12,11 @@ from biasframe.operators import embed as G
 from biasframe.operators import metrics as M
 from biasframe.operators import models as ML
 from biasframe.operators import sample as H
+from biasframe.operators import sketch_vectors as SV
 from biasframe.operators import vocab as V
 from biasframe.operators.features import FEATURE_NAMES, feature_columns
 from biasframe.operators.joint_logit import fit
-from biasframe.operators.ordering import attach_row, materialize, stored
+from biasframe.operators.ordering import attach_row, materialize, spread, stored
 from biasframe.plans.bias_report import labelled, subgroup_flags
 from biasframe.plans.text_queries import FLAG_WORDS
 from biasframe.schema import SCORED_IDENTITIES, SUBTYPE_COLUMNS
@@ -153,37 +154,73 @@ def foreign_scores_sql():
     return with_comments(f"SELECT id, round(1 / (1 + exp(-({z} - 0.5e0))), 9) AS prediction FROM comments")
 
 
+SENTENCE_DIM, SENTENCE_WINDOW, DOC_DIM, DOC_WINDOW = 60, 50, 300, 10
+SKETCH_WIDTH = 48
+
+
 def _conv_tokens(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
                     V.tokens(X.clean("text"), V.NEWLINE_TAB_FILTERS).alias("words"))
 
 
-def word2vec_vectors(spark, sf_dir):
-    """Word vectors trained on the conversation turns; document vector
-    = mean of its word vectors."""
-    docs = _conv_tokens(spark, sf_dir)
-    model = G.train_word_vectors(docs, dim=16, window=5, iterations=1, seed=7)
-    return G.document_vectors(model, docs).select("id", F.col("doc_vector").alias("vector"))
+def _doc_tokens(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return stored(docs.select("id", V.tokens(X.clean("text"), V.NEWLINE_TAB_FILTERS).alias("words")))
+
+
+def word_sketches(spark, sf_dir):
+    """The whole-number part of the factorisation, on conversation turns."""
+    c = table(spark, sf_dir, "conversations").select("text")
+    return SV.word_sketches(c.select(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ").alias("words")), "words", SKETCH_WIDTH, DOC_WINDOW)
+
+
+def word_sketches_sql():
+    docs = "SELECT row_number() OVER () AS id, string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ') AS words FROM conversations"
+    return SV.sketches_sql(docs, SKETCH_WIDTH, DOC_WINDOW)
+
+
+def document_vectors(spark, sf_dir):
+    """G5 + G7: vectors of 300 numbers for the document texts."""
+    docs = _doc_tokens(spark, sf_dir)
+    return SV.document_vectors(SV.train(docs, dim=DOC_DIM, window=DOC_WINDOW), docs)
+
+
+def sentence_vectors(spark, sf_dir):
+    """Vectors of 60 numbers, window 50, trained on the sentences (F2) of the
+    conversation turns and of the documents."""
+    turns = table(spark, sf_dir, "conversations").select("text").unionByName(table(spark, sf_dir, "documents").select("text"))
+    rows = stored(turns.select(F.explode(V.sentences("text")).alias("s")).select(X.whitespace_tokens(F.lower("s")).alias("words")))
+    space = SV.train(rows, dim=SENTENCE_DIM, window=SENTENCE_WINDOW)
+    return SV.document_vectors(space, _conv_tokens(spark, sf_dir))
 
 
 def vector_fallback(spark, sf_dir):
-    """Own split's vector, else the other split's, else inferred."""
-    docs = _conv_tokens(spark, sf_dir).withColumn("is_test", H.split_flag(0.3))
-    train = docs.where(~F.col("is_test"))
-    model = G.train_word_vectors(train, dim=16, window=5, iterations=1, seed=7)
-    own = G.document_vectors(model, train).select("id", F.col("doc_vector").alias("vector"))
-    test = docs.where(F.col("is_test"))
-    test_model = G.train_word_vectors(test, dim=16, window=5, iterations=1, seed=7)
-    other = G.document_vectors(test_model, test).select("id", F.col("doc_vector").alias("vector"))
-    inferred = G.document_vectors(model, docs).select("id", F.col("doc_vector").alias("vector"))
-    return G.lookup_with_fallback(docs.select("id"), own, other, inferred).select(
-        "id", vector_to_list("vector").alias("vector"))
+    """Own split's vector, else the other split's, else inferred: the training
+    split has its own vectors, half of the test split those of the test space."""
+    docs = _doc_tokens(spark, sf_dir).withColumn("is_test", H.split_flag(0.3))
+    train, test = docs.where(~F.col("is_test")), docs.where(F.col("is_test") & (F.col("id") % 2 == 0))
+    space = SV.train(train, dim=SENTENCE_DIM, window=DOC_WINDOW)
+    own, inferred = (SV.document_vectors(space, d.select("id", "words")) for d in (train, docs))
+    other = SV.document_vectors(SV.train(test, dim=SENTENCE_DIM, window=DOC_WINDOW), test.select("id", "words"))
+    return G.lookup_with_fallback(docs.select("id"), own, other, inferred).select("id", "vector")
+
+
+def vector_sources(spark, sf_dir):
+    """Which of the three an id's vector comes from; the vectors are told apart by
+    their first number, as each source marks its own."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).withColumn("is_test", H.split_flag(0.3))
+
+    def marked(rows, mark):
+        return rows.select("id", F.array(F.lit(mark), F.col("id").cast("double")).alias("vector"))
+
+    rows = G.lookup_with_fallback(docs.select("id"), marked(docs.where(~F.col("is_test")), 1.0), marked(docs.where(F.col("id") % 2 == 0), 2.0), marked(docs, 3.0))
+    return rows.select("id", "vector")
 
 
-def vector_to_list(c: str):
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array(F.col(c))
+def vector_sources_sql():
+    test = f"{H.row_hash_sql('split', 'doc_id')} < {int(0.3 * H.TWO_32)}"
+    return f"SELECT doc_id AS id, [CASE WHEN NOT ({test}) THEN 1 WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END::DOUBLE, doc_id::DOUBLE] AS vector FROM documents"
 
 
 def volume(spark, sf_dir):
@@ -209,7 +246,10 @@ QUERIES = {
     "l1_l5_forest_checks": (forest_checks, forest_checks_sql),
     "l3_importance_checks": (importance_checks, importance_checks_sql),
     "l5_foreign_scores": (foreign_scores, foreign_scores_sql),
-    "g5_g7_word2vec_vectors": (word2vec_vectors, None),
+    "g5_word_sketches": (word_sketches, word_sketches_sql),
+    "g5_g7_document_vectors": (document_vectors, None),
+    "g6_sentence_vectors": (sentence_vectors, None),
+    "g8_vector_sources": (vector_sources, vector_sources_sql),
     "g8_vector_fallback": (vector_fallback, None),
     "a12_volume_report": (volume, volume_sql),
 }
