@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biasframe.llm.common import append_columns
+from biasframe.llm.common import append_columns, release_memory
 
 #: Fixed value: the pre-tokenizer pattern of the byte-level tokenizer files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 LEXICON_WORDS = 16384
 MEMO_WORDS = 300_000
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 LONG_WORD = 48
 EMPTY, NONE, HASH = np.uint64(2**64 - 1), 2**62, np.uint64(0x9E3779B97F4A7C15)
 #: A text that has other white space than a single space or newline between two chunks.
@@ -434,6 +434,8 @@ def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = LEXICON
                 seen = Counter(dict(seen.most_common(4 * limit)))
         top = [(w, n) for w, n in seen.most_common(limit) if 0 < len(w) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+        del seen, top
+        release_memory()
 
     counts = docs.select(text_col).mapInArrow(count, "word string, n long")
     best = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)

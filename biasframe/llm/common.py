@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -34,6 +35,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give memory that is free in this worker process, which lives on after a
+    task, back to the machine (where the C library can)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 #: Bytes of text that ``append_columns`` turns into Python values at once.
 SLICE_BYTES = 4 << 20
 
@@ -75,7 +85,7 @@ def append_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[T.Stru
                 del made
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
                 del b, cols
-        pa.default_memory_pool().release_unused()  # the worker process lives on
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
