@@ -12,6 +12,7 @@ from biasframe.operators import normalize as N
 from biasframe.operators import partition as P
 from biasframe.operators import sample as H
 from biasframe.operators import vocab as V
+from biasframe.operators import wordpiece as W
 from biasframe.operators.gather import PIECE, encode_arrays
 from biasframe.operators.ordering import attach_row, spread, stored
 from biasframe.schema import SCORED_IDENTITIES, SUBTYPE_COLUMNS
@@ -23,6 +24,7 @@ NUM_WORDS = 10000
 SEQ_LEN = 250
 FEW_WORDS, FEW_WORDS_LEN = 1000, 150
 MODEL_LEN = 128
+UNKNOWN, CLS, SEP = 1, 2, 3
 
 
 # ----------------------------------------------------------------- corpora
@@ -197,6 +199,47 @@ def model_inputs_sql():
             f"list_transform(range({MODEL_LEN}), lambda x: 0) AS segment_ids FROM q")
 
 
+def _doc_pieces(spark, sf_dir):
+    docs = stored(raw_docs(spark, sf_dir).select("id", V.tokens("text").alias("words")))
+    vocab = V.vocabulary_from_tokens(docs.select(F.lit(0).alias("part"), F.col("id").alias("doc"), F.posexplode("words").alias("pos", "word")))
+    return docs, stored(W.corpus_pieces(vocab))
+
+
+def wordpiece_inputs(spark, sf_dir):
+    """F12 on the document texts: words cut into the longest pieces of a piece
+    vocabulary, as model inputs of fixed length."""
+    docs, pieces = _doc_pieces(spark, sf_dir)
+    ids = W.encode_pieces(docs, "words", pieces, UNKNOWN)
+    return ids.select("id", F.size("ids").alias("n_pieces"), *V.model_inputs("ids", MODEL_LEN, CLS, SEP)[:2])
+
+
+def wordpiece_inputs_sql():
+    seq = f"list_concat([{CLS}::BIGINT], coalesce(g.ids, [])[1:{MODEL_LEN - 2}], [{SEP}::BIGINT])"
+    return (f"WITH RECURSIVE docs AS (SELECT 0 AS part, doc_id AS doc, text FROM documents), {_vocab_sql(V.DEFAULT_FILTERS)}, "
+            "w AS (SELECT word FROM vocab WHERE word_index <= 3000), l AS (SELECT DISTINCT unnest(string_split(word, '')) AS word FROM w), "
+            "p AS (SELECT word AS piece FROM w UNION SELECT word FROM l UNION SELECT '##' || word FROM w WHERE length(word) <= 4 UNION SELECT '##' || word FROM l), "
+            "pieces AS MATERIALIZED (SELECT piece, row_number() OVER (ORDER BY encode(piece)) + 3 AS i FROM p WHERE piece <> ''), "
+            "cut AS (SELECT word, 0::BIGINT AS done, []::BIGINT[] AS ids FROM vocab UNION ALL "
+            "SELECT word, done + n, list_append(ids, i) FROM (SELECT c.word, c.done, c.ids, n, pieces.i, row_number() OVER (PARTITION BY c.word ORDER BY n DESC) AS best "
+            "FROM (SELECT *, unnest(range(1, least(length(word) - done, (SELECT max(length(piece)) FROM pieces)) + 1)) AS n FROM cut WHERE done < length(word)) c "
+            "JOIN pieces ON pieces.piece = CASE WHEN c.done = 0 THEN substr(c.word, 1, n::INTEGER) ELSE '##' || substr(c.word, (c.done + 1)::INTEGER, n::INTEGER) END) WHERE best = 1), "
+            f"whole AS (SELECT v.word, coalesce(any_value(c.ids), [{UNKNOWN}::BIGINT]) AS ids FROM vocab v LEFT JOIN cut c ON c.word = v.word AND c.done = length(v.word) GROUP BY v.word), "
+            "g AS (SELECT t.doc, flatten(list(whole.ids ORDER BY t.pos)) AS ids FROM tok t JOIN whole USING (word) GROUP BY t.doc), "
+            f"q AS (SELECT d.doc AS id, coalesce(len(g.ids), 0)::INTEGER AS n_pieces, {seq} AS sq FROM docs d LEFT JOIN g ON g.doc = d.doc) "
+            f"SELECT id, n_pieces, list_concat(sq, list_transform(range({MODEL_LEN} - len(sq)), lambda x: 0::BIGINT)) AS input_ids, "
+            f"list_concat(list_transform(range(len(sq)), lambda x: 1), list_transform(range({MODEL_LEN} - len(sq)), lambda x: 0)) AS input_mask FROM q")
+
+
+def document_sentences(spark, sf_dir):
+    """F2 on the document texts."""
+    ex = raw_docs(spark, sf_dir).select("id", F.posexplode(V.sentences("text")).alias("sentence_no", "sentence"))
+    return ex.select("id", "sentence_no", X.whitespace_tokens("sentence").alias("tokens"))
+
+
+def document_sentences_sql():
+    return sentence_corpus_sql().replace("conv_id * 1000 + turn AS id", "doc_id AS id").replace("FROM conversations", "FROM documents")
+
+
 def sentence_corpus(spark, sf_dir):
     c = conv_docs(spark, sf_dir)
     ex = c.select("id", F.posexplode(V.sentences("text")).alias("sentence_no", "sentence"))
@@ -408,6 +451,8 @@ QUERIES = {
     "f11_pad_pre": (pad_pre, pad_pre_sql),
     "f11_pad_pre_documents": (pad_pre_docs, pad_pre_docs_sql),
     "f12_model_inputs": (model_inputs, model_inputs_sql),
+    "f12_wordpiece_inputs": (wordpiece_inputs, wordpiece_inputs_sql),
+    "f2_document_sentences": (document_sentences, document_sentences_sql),
     "f2_sentence_corpus": (sentence_corpus, sentence_corpus_sql),
     "f13_example_records": (example_records, example_records_sql),
     "g1_embedding_matrix": (matrix, matrix_sql),
