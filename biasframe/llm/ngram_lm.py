@@ -42,11 +42,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biasframe.llm.common import scratch, written
+from biasframe.llm.common import release_memory, scratch, written
 from biasframe.llm.near_dup import mixed
 
 BLOCK_TOKENS = 2_000_000
-SHARD_KEYS = 3_000_000
+SHARD_KEYS = 2_000_000
 MASS = 4.0  # of the words alone, in occurrences of the context
 STEP, MISS = 0.04, 255  # of the quantised decimal logarithms
 END, START = b" ", b"\n"  # no word has white space
@@ -189,6 +189,7 @@ def text_blocks(docs: DataFrame, held: Column) -> DataFrame:
                  pa.array([pack_sorted(keys)], pa.binary()), pa.array([len(keys)], pa.int64())],
                 names=["block", "ids", "held", "lengths", "codes", "keys", "n_keys"])
             number, ids, marks, texts, total, made = defaultdict(counter().__next__), [], [], [], 0, made + 1
+            release_memory()
             return out
 
         for b in batches:
@@ -280,6 +281,8 @@ def count_words(blocks: DataFrame, shards: int) -> DataFrame:
             part = where[at:at + len(k)]
             out.append({"block": block, "shard": shard, "v0": pack(ids[part].astype(np.uint32)), "v1": pack(n[part])})
             at += len(k)
+        del keys, every, where, n, ids
+        release_memory()
         return pd.DataFrame(out)
 
     sent = blocks.select("block", "ids", "held", "lengths", "codes", "keys").mapInPandas(send, "shard int, block long, keys binary, n binary")
@@ -302,6 +305,8 @@ def look_up_pairs(known: DataFrame, shards: int, word_shards: int) -> DataFrame:
                 context = np.round(np.log10(of + MASS) / STEP).astype(np.uint8)
                 for s, at in _by_shard((mixed(pairs) % _U(shards)).astype(np.int32), shards):
                     yield pd.DataFrame({"shard": [s], "block": [row["block"]], "keys": [pack_sorted(pairs[at])], "n": [pack(seen[at])], "context": [pack(context[at])]})
+                del b, ids, n, pairs, where, seen, of, context
+                release_memory()
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_sorted(x) for x in pdf["keys"]]
@@ -314,7 +319,10 @@ def look_up_pairs(known: DataFrame, shards: int, word_shards: int) -> DataFrame:
         trie = Trie(Trie.build(every[stored] >> _U(32), every[stored] & low, codes))
         found = trie.find(every >> _U(32), every & low)  # once for all blocks: work grows with the keys alone
         ends = np.cumsum([len(k) for k in keys])
-        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "v0": [pack(found[w]) for w in np.split(where, ends[:-1])]})
+        out = pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "v0": [pack(found[w]) for w in np.split(where, ends[:-1])]})
+        del keys, every, where, n, context, trie, found
+        release_memory()
+        return out
 
     sent = known.mapInPandas(send, "shard int, block long, keys binary, n binary, context binary")
     return written(sent.groupBy("shard").applyInPandas(answer, "block long, shard int, v0 binary"), "pair_answers")
@@ -359,5 +367,7 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pd.array(list(b.ids), "Int64"), "held_out": b.held == 1, "n_tokens": b.lengths.astype(np.int64),
                                     "n_known": np.add.reduceat((own > 0).astype(np.int64), first), "train_tokens": n_all,
                                     "base_score": np.add.reduceat(np.log10(p), first), "score": np.add.reduceat(np.log10(np.minimum(both, 1.0)), first)})
+                del b, ids, n, pairs, where, code, own, p, before, both
+                release_memory()
 
     return full.mapInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
