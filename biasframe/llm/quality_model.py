@@ -171,9 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: st
     return fit(np.array([r[0] for r in got], float).reshape(len(got), len(FEATURES)), np.array([r[1] for r in got], float))
 
 
-def score(docs: DataFrame, model: AdditiveModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: AdditiveModel, threshold: float = 0.7, text_col: str = "text",
+          outputs: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (1 if the score reaches
-    ``threshold``). The broadcast model is a few lookup tables of fixed size."""
+    ``threshold``), or these two under other names. The broadcast model is a few
+    lookup tables of fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -185,4 +187,4 @@ def score(docs: DataFrame, model: AdditiveModel, threshold: float = 0.7, text_co
 
         return run
 
-    return append_columns(docs, [text_col], [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make)
+    return append_columns(docs, [text_col], [T.StructField(outputs[0], T.DoubleType()), T.StructField(outputs[1], T.IntegerType())], make)

@@ -46,10 +46,6 @@ def judge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
 
 
-def judge_rules_by_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), rules.tail_cutoffs)
-
-
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -102,7 +98,6 @@ def compress_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": (classify_quality, None),
     "op2_quality_rules": (judge_rules, lambda: rules.RULES_SQL),
-    "op2_quality_rules_by_tails": (judge_rules_by_tails, lambda: rules.TAIL_RULES_SQL),
     "op3_secret_scan": (scan_secrets, None),
     "op4_ngram_lm": (score_texts, None),
     "op5_mixing": (mix_sources, None),

@@ -2,23 +2,26 @@
 
 Per language and source, each measure of a text has a mergeable quantile
 sketch: a count per log-linear cell (the leading bits of the value), so merging
-is adding counts and every quantile is known to one part in 64. Cutoffs are
-fences around the quartiles of the group; groups with few texts use the merged
-sketch of their language, or of all texts. The cutoffs are joined back to the
-measures to filter. ``tail_cutoffs`` takes them from the tails of the group's
-own sketch instead, at every group size and without least spreads.
+is adding counts and every quantile is known to one part in 64. A group's sketch is
+blended with that of its language, and this with that of all texts, as if each
+stood for ``PRIOR`` more texts: small groups lean on their language, large ones go by
+their own, with no size at which the rule changes. The sketches hold the texts that
+pass the base rules. Word length, which has no heap at zero, comes first: its cutoffs are
+fences around the quartiles of the group. The other measures take the cutoff
+from the texts well inside those fences, whose lists and symbols are the usual ones: their
+quantile ``TOP``, and one step of the sketch (1/64 of the value and of the scale) beyond.
+The cutoffs are joined back to the measures to filter.
 
 Defined cases: a null text has no words; texts without words fail the base
 rules and stay out of the sketches; null languages and sources are groups of
-their own; texts of any length are measured whole; an empty table gives an
-empty result; repeated rows are measured and counted each; other columns are
-not read, so their names cannot clash.
+their own; a group of which no text passes the base rules keeps none; texts of
+any length are measured whole; an empty table gives an empty result; repeated
+rows are measured and counted each; other columns are not read, so their names
+cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +30,13 @@ from biasframe.llm.common import WORD_GAP, let, word_array, written
 SYMBOLS = "#*$%&|<>"
 #: Leading bits of a value that name its cell: a relative error of 1/64.
 CELL_BITS = 7
-#: measure -> (fixed value: the least spread that counts, in its own unit)
-MEASURES = {"symbols_ppm": 20_000, "dup_lines_ppm": 100_000, "repeats_ppm": 100_000, "word_milli": 1_000}
-FENCE = 3
-MIN_GROUP = 200
+SHARES, LENGTH = ["symbols_ppm", "dup_lines_ppm", "repeats_ppm"], "word_milli"
+#: Texts that the sketch of a group's language counts for, in units of WEIGHT; one text's weight.
+PRIOR, WEIGHT = 200, 1_000_000
+#: Quartile spreads to the fences of word length, and of the texts that set the other cutoffs.
+FENCE, INNER = 3, 1
+#: The quantile of these texts, in thousandths, and a step of the sketch on the scale of shares.
+TOP, STEP = 990, 1_000_000 >> 6
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -79,77 +85,113 @@ def cell(value: Column) -> Column:
     return let(drop, lambda d: F.call_function("shiftleft", F.call_function("shiftright", value, d), d))
 
 
-def sketches(valued: DataFrame) -> DataFrame:
+def sketches(valued: DataFrame, names: list[str]) -> DataFrame:
     """lang, source, measure, cell, n: the sketches of all groups. Counts are
     combined before the shuffle, so a hot source sends its cells, not its rows."""
-    long = valued.select("lang", "source", F.explode(F.create_map(*[x for m in MEASURES for x in (F.lit(m), F.col(m))])).alias("measure", "value"))
+    long = valued.select("lang", "source", F.explode(F.create_map(*[x for m in names for x in (F.lit(m), F.col(m))])).alias("measure", "value"))
     return long.groupBy("lang", "source", "measure", cell(F.col("value")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketch: DataFrame, *group: str) -> DataFrame:
-    """Lower and upper quartile cells of merged sketches; a window holds the
-    cells of one sketch, a few hundred at most whatever the rows."""
-    merged = sketch.groupBy(*group, "measure", "cell").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*group, "measure")
-    run = merged.withColumn("_below", F.sum("n").over(w.orderBy("cell"))).withColumn("_all", F.sum("n").over(w))
-    return run.groupBy(*group, "measure").agg(
-        F.max("_all").alias("rows"), F.min(F.when(4 * F.col("_below") >= F.col("_all"), F.col("cell"))).alias("q1"),
-        F.min(F.when(4 * F.col("_below") >= 3 * F.col("_all"), F.col("cell"))).alias("q3"))
+def _leaning(sketch: DataFrame, groups: DataFrame, shares: DataFrame, on: list[str]) -> DataFrame:
+    """Sketches (on, measure, cell, n) of ``groups`` (on, measure) leaning on
+    ``shares`` (of a coarser level, with the columns of ``on`` it knows): on,
+    measure, cell, w."""
+    known = [c for c in shares.columns if c in on]
+    coarse = shares.select(*[F.col(c).alias(f"_{c}") for c in known], F.col("measure").alias("_m"), F.col("cell").alias("_cell"), "share")
+    same = F.col("measure") == F.col("_m")
+    for c in known:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    every = groups.join(coarse, same).select(*on, "measure", F.col("_cell").alias("cell"), "share")
+    own = sketch.select(*[F.col(c).alias(f"_{c}") for c in on], F.col("measure").alias("_m"), F.col("cell").alias("_cell"), "n")
+    same = (F.col("measure") == F.col("_m")) & (F.col("cell") == F.col("_cell"))
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    weight = F.coalesce("n", F.lit(0)) * WEIGHT + F.floor(PRIOR * WEIGHT * F.col("share")).cast("long")
+    return every.join(own, same, "left").select(*on, "measure", "cell", weight.alias("w"))
+
+
+def blended(valued: DataFrame, names: list[str], groups: DataFrame) -> DataFrame:
+    """lang, source, measure, cell, below, total: the blended sketches of ``groups``
+    (lang, source; some may have no row in ``valued``) as running weights. A window holds the cells of one sketch, some hundreds
+    whatever the rows."""
+    sketch = written(sketches(valued, names), "sketches")
+    groups = groups.select("lang", "source", F.explode(F.array(*[F.lit(m) for m in names])).alias("measure"))
+    by_all = sketch.groupBy("measure", "cell").agg(F.sum("n").alias("n"))
+    shares = by_all.select("measure", "cell", (F.col("n") / F.sum("n").over(Window.partitionBy("measure"))).alias("share"))
+    by_lang = _leaning(sketch.groupBy("lang", "measure", "cell").agg(F.sum("n").alias("n")), groups.select("lang", "measure").distinct(), shares, ["lang"])
+    shares = by_lang.select("lang", "measure", "cell", (F.col("w") / F.sum("w").over(Window.partitionBy("lang", "measure"))).alias("share"))
+    own = _leaning(sketch, groups, written(shares, "language_shares"), ["lang", "source"])
+    w = Window.partitionBy("lang", "source", "measure")
+    return own.select("lang", "source", "measure", "cell", F.sum("w").over(w.orderBy("cell")).alias("below"), F.sum("w").over(w).alias("total"))
 
 
-def cutoffs(valued: DataFrame) -> DataFrame:
-    """lang, source, and per measure the fences below and above."""
-    sketch = written(sketches(valued), "sketches")
-    own = quartiles(sketch, "lang", "source")
-    by_lang = quartiles(sketch, "lang").select(F.col("lang").alias("_lang"), "measure", *[F.col(c).alias(f"l_{c}") for c in ("rows", "q1", "q3")])
-    by_all = quartiles(sketch).select(F.col("measure").alias("_m"), *[F.col(c).alias(f"a_{c}") for c in ("q1", "q3")])
-    both = (own.join(by_lang.withColumnRenamed("measure", "_lm"), F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_lm")))
-               .join(by_all, F.col("measure") == F.col("_m")))
-
-    def pick(q: str) -> Column:
-        return F.when(F.col("rows") >= MIN_GROUP, F.col(q)).when(F.col("l_rows") >= MIN_GROUP, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-
-    floor = F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv])
-    spread = FENCE * F.greatest(F.col("_q3") - F.col("_q1"), floor[F.col("measure")])
-    fences = both.select("lang", "source", "measure", pick("q1").alias("_q1"), pick("q3").alias("_q3")).select(
-        "lang", "source", "measure", (F.col("_q1") - spread).alias("low"), (F.col("_q3") + spread).alias("high"))
-    return fences.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e in ("low", "high")])
-
-
-def tail_cutoffs(valued: DataFrame) -> DataFrame:
-    """lang, source, and per measure the fences below and above: as far beyond
-    the outer tenths of the group's own sketch as these lie from its median,
-    and the width of the cells. No least spread and no other group's sketch."""
-    w = Window.partitionBy("lang", "source", "measure")
-    run = sketches(valued).withColumn("_below", F.sum("n").over(w.orderBy("cell"))).withColumn("_all", F.sum("n").over(w))
-    tails = run.groupBy("lang", "source", "measure").agg(
-        *[F.min(F.when(10 * F.col("_below") >= k * F.col("_all"), F.col("cell"))).alias(f"q{k}") for k in (1, 5, 9)])
-    fences = tails.select("lang", "source", "measure", F.expr("2 * q1 - q5 - shiftright(q5, 6)").alias("low"),
-                          F.expr("2 * q9 - q5 + shiftright(q9, 5)").alias("high"))
-    return fences.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e in ("low", "high")])
+def _quantile(part: int, of: int) -> Column:
+    return F.min(F.when(of * F.col("below") >= part * F.col("total"), F.col("cell")))
+
+
+def _fences(spreads: int) -> tuple[Column, Column]:
+    """The ends of ``spreads`` quartile spreads around the quartiles, and a step of
+    the sketch beyond."""
+    return (F.expr(f"q1 - {spreads} * (q3 - q1) - shiftright(q1, 6)"), F.expr(f"q3 + {spreads} * (q3 - q1) + shiftright(q3, 6)"))
+
+
+def _with(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+    """Rows with the columns of their group, from a written table that the planner
+    broadcasts only if its files are small."""
+    named = groups.withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
+    return rows.join(named, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), how).drop("_lang", "_source")
 
 
-def judge(docs: DataFrame, fence: Callable[[DataFrame], DataFrame] = cutoffs) -> DataFrame:
+def cutoffs(valued: DataFrame) -> DataFrame:
+    """lang, source, q1 and q3 of word length, and the cutoff of each share."""
+    usual = valued.where(~F.col("base_failed"))
+    groups = written(usual.select("lang", "source").distinct(), "groups")
+    length = blended(usual, [LENGTH], groups).groupBy("lang", "source").agg(_quantile(1, 4).alias("q1"), _quantile(3, 4).alias("q3"))
+    length = written(length, "word_lengths")
+    low, high = _fences(INNER)
+    inside = _with(usual, length, "inner").where((F.col(LENGTH) >= low) & (F.col(LENGTH) <= high))
+    tops = blended(inside, SHARES, groups).groupBy("lang", "source", "measure").agg(_quantile(TOP, 1000).alias("q"))
+    tops = tops.withColumn("high", F.expr(f"q + shiftright(q, 6) + {STEP}")).groupBy("lang", "source").agg(
+        *[F.max(F.when(F.col("measure") == m, F.col("high"))).alias(f"{m}_high") for m in SHARES])
+    return written(_with(length, written(tops, "tops"), "left"), "cutoffs")
+
+
+def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed and kept for every row of ``docs``. ``fence`` gives the cutoffs
-    of every lang and source: ``cutoffs`` or ``tail_cutoffs``. The measures (nine numbers a
-    row) are written once; the texts are read once and never shuffled. The
-    cutoffs are a written table, so the planner broadcasts them only if their
-    files are small and joins by shuffle otherwise."""
+    base_failed and kept for every row of ``docs``. The measures (nine numbers a
+    row) are written once; the texts are read once and never shuffled."""
     measured = written(measures(docs).select("*", base_failed().alias("base_failed")), "measures")
     valued = measured.select("*", *_values())
-    fences = written(fence(valued.where("n_words > 0")), "cutoffs").withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
-    joined = valued.join(fences, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    inside = F.lit(True)
-    for m in MEASURES:
+    joined = _with(valued, cutoffs(valued), "left")
+    low, high = _fences(FENCE)
+    inside = (F.col(LENGTH) >= low) & (F.col(LENGTH) <= high)
+    for m in SHARES:
         inside = inside & (F.col(m) <= F.col(f"{m}_high"))
-    inside = inside & (F.col("word_milli") >= F.col("word_milli_low"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))
 
 
+def _blended_sql(name: str, rows: str, names: list[str]) -> str:
+    cols = ", ".join(names)
+    return f"""
+{name}_sketch AS (SELECT lang, source, measure, (value >> s) << s AS cell, count(*) AS n FROM (SELECT *, greatest(length(bin(value)) - {CELL_BITS}, 0) AS s
+  FROM (UNPIVOT (SELECT lang, source, {cols} FROM {rows}) ON {cols} INTO NAME measure VALUE value)) GROUP BY ALL),
+{name}_groups AS (SELECT lang, source, unnest([{', '.join(f"'{m}'" for m in names)}]) AS measure FROM (SELECT DISTINCT lang, source FROM usual)),
+{name}_all AS (SELECT measure, cell, n / sum(n) OVER (PARTITION BY measure) AS share FROM (SELECT measure, cell, sum(n)::BIGINT AS n FROM {name}_sketch GROUP BY ALL)),
+{name}_lang AS (SELECT lang, measure, cell, w / sum(w) OVER (PARTITION BY lang, measure) AS share FROM (
+  SELECT l.lang, a.measure, a.cell, coalesce(s.n, 0) * {WEIGHT} + floor({PRIOR * WEIGHT} * a.share)::BIGINT AS w
+  FROM (SELECT DISTINCT lang, measure FROM {name}_groups) l JOIN {name}_all a USING (measure)
+  LEFT JOIN (SELECT lang, measure, cell, sum(n)::BIGINT AS n FROM {name}_sketch GROUP BY ALL) s ON s.lang IS NOT DISTINCT FROM l.lang AND s.measure = a.measure AND s.cell = a.cell)),
+{name}_own AS (SELECT g.lang, g.source, l.measure, l.cell, coalesce(s.n, 0) * {WEIGHT} + floor({PRIOR * WEIGHT} * l.share)::BIGINT AS w
+  FROM {name}_groups g JOIN {name}_lang l ON l.lang IS NOT DISTINCT FROM g.lang AND l.measure = g.measure
+  LEFT JOIN {name}_sketch s ON s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source AND s.measure = l.measure AND s.cell = l.cell),
+{name}_run AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY cell) AS below, sum(w) OVER (PARTITION BY lang, source, measure) AS total FROM {name}_own)"""
+
+
+def _between_sql(spreads: int) -> str:
+    return f"{LENGTH} BETWEEN q1 - {spreads} * (q3 - q1) - (q1 >> 6) AND q3 + {spreads} * (q3 - q1) + (q3 >> 6)"
+
+
 RULES_SQL = rf"""
 WITH words AS (
   SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS t,
@@ -171,46 +213,16 @@ valued AS (
          1000000 * n_symbols // word_chars AS symbols_ppm, 1000000 * n_dup_lines // n_lines AS dup_lines_ppm,
          1000000 * n_repeat_words // n_words AS repeats_ppm, 1000 * word_chars // n_words AS word_milli
   FROM measured),
-long AS (
-  UNPIVOT (SELECT lang, source, symbols_ppm, dup_lines_ppm, repeats_ppm, word_milli FROM valued WHERE n_words > 0)
-  ON symbols_ppm, dup_lines_ppm, repeats_ppm, word_milli INTO NAME measure VALUE value),
-sketch AS (
-  SELECT lang, source, measure, (value >> s) << s AS cell, count(*) AS n
-  FROM (SELECT *, greatest(length(bin(value)) - {CELL_BITS}, 0) AS s FROM long) GROUP BY ALL),
-own AS (
-  SELECT lang, source, measure, max(total) AS n, min(CASE WHEN 4 * below >= total THEN cell END) AS q1, min(CASE WHEN 4 * below >= 3 * total THEN cell END) AS q3
-  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY cell) AS below, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM sketch)
-  GROUP BY ALL),
-by_lang AS (
-  SELECT lang, measure, max(total) AS n, min(CASE WHEN 4 * below >= total THEN cell END) AS q1, min(CASE WHEN 4 * below >= 3 * total THEN cell END) AS q3
-  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, measure ORDER BY cell) AS below, sum(n) OVER (PARTITION BY lang, measure) AS total
-        FROM (SELECT lang, measure, cell, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL),
-by_all AS (
-  SELECT measure, min(CASE WHEN 4 * below >= total THEN cell END) AS q1, min(CASE WHEN 4 * below >= 3 * total THEN cell END) AS q3
-  FROM (SELECT *, sum(n) OVER (PARTITION BY measure ORDER BY cell) AS below, sum(n) OVER (PARTITION BY measure) AS total
-        FROM (SELECT measure, cell, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL),
-picked AS (
-  SELECT o.lang, o.source, o.measure,
-         CASE WHEN o.n >= {MIN_GROUP} THEN o.q1 WHEN b.n >= {MIN_GROUP} THEN b.q1 ELSE a.q1 END AS q1,
-         CASE WHEN o.n >= {MIN_GROUP} THEN o.q3 WHEN b.n >= {MIN_GROUP} THEN b.q3 ELSE a.q3 END AS q3,
-         CASE o.measure {' '.join(f"WHEN '{m}' THEN {v}" for m, v in MEASURES.items())} END AS least_spread
-  FROM own o JOIN by_lang b ON o.lang IS NOT DISTINCT FROM b.lang AND o.measure = b.measure JOIN by_all a ON a.measure = o.measure),
+usual AS (SELECT * FROM valued WHERE NOT base_failed),
+{_blended_sql("w", "usual", [LENGTH])},
+word AS (SELECT lang, source, min(CASE WHEN 4 * below >= total THEN cell END) AS q1, min(CASE WHEN 4 * below >= 3 * total THEN cell END) AS q3 FROM w_run GROUP BY ALL),
+inside AS (SELECT u.* FROM usual u JOIN word f ON u.lang IS NOT DISTINCT FROM f.lang AND u.source IS NOT DISTINCT FROM f.source WHERE {_between_sql(INNER)}),
+{_blended_sql("p", "inside", SHARES)},
+tops AS (SELECT lang, source, measure, min(CASE WHEN 1000 * below >= {TOP} * total THEN cell END) AS q FROM p_run GROUP BY ALL),
 fences AS (
-  SELECT lang, source, {', '.join(f"max(CASE WHEN measure = '{m}' THEN q3 + {FENCE} * greatest(q3 - q1, least_spread) END) AS {m}_high" for m in MEASURES)},
-         max(CASE WHEN measure = 'word_milli' THEN q1 - {FENCE} * greatest(q3 - q1, least_spread) END) AS word_milli_low
-  FROM picked GROUP BY ALL)
+  SELECT f.lang, f.source, q1, q3, {', '.join(f"max(CASE WHEN measure = '{m}' THEN q + (q >> 6) + {STEP} END) AS {m}_high" for m in SHARES)}
+  FROM word f LEFT JOIN tops t ON f.lang IS NOT DISTINCT FROM t.lang AND f.source IS NOT DISTINCT FROM t.source GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce({' AND '.join(f'{m} <= {m}_high' for m in MEASURES)} AND word_milli >= word_milli_low, false) AS kept
+       NOT base_failed AND coalesce({' AND '.join(f'{m} <= {m}_high' for m in SHARES)} AND {_between_sql(FENCE)}, false) AS kept
 FROM valued v LEFT JOIN fences f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source
 """
-
-TAIL_RULES_SQL = RULES_SQL[:RULES_SQL.index("own AS (")] + f"""
-tails AS (
-  SELECT lang, source, measure, {', '.join(f"min(CASE WHEN 10 * below >= {k} * total THEN cell END) AS q{k}" for k in (1, 5, 9))}
-  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY cell) AS below, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM sketch)
-  GROUP BY ALL),
-fences AS (
-  SELECT lang, source, {', '.join(f"max(CASE WHEN measure = '{m}' THEN 2 * q9 - q5 + (q9 >> 5) END) AS {m}_high" for m in MEASURES)},
-         max(CASE WHEN measure = 'word_milli' THEN 2 * q1 - q5 - (q5 >> 6) END) AS word_milli_low
-  FROM tails GROUP BY ALL)
-""" + RULES_SQL[RULES_SQL.index("SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,"):]

@@ -122,17 +122,22 @@ def test_rules_match_brute_force(docs, none):
     assert rules.judge(none).count() == 0
 
 
-def test_tail_cutoffs_follow_the_group(spark):
-    """Two small groups: one where a tenth of symbols is usual, one where it is not."""
-    rows = [(1000 * g + i, " ".join(f"w{i}x{j}" + "#" * (j % 10 < k) for j in range(60)), "en", s)
-            for g, (s, usual) in enumerate([("code", 4), ("prose", 0)]) for i in range(40) for k in [usual + i % 3 if i else 8]]
-    many = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    measured = rules.measures(many).select("*", *rules._values())
-    high = {r.source: r.symbols_ppm_high for r in rules.tail_cutoffs(measured).collect()}
-    assert high["code"] > 1.5 * high["prose"]
-    kept = {r.doc_id: r.kept for r in rules.judge(many, rules.tail_cutoffs).collect()}
-    assert not kept[1000] and all(v for k, v in kept.items() if k % 1000)
-    assert rules.judge(many.limit(0), rules.tail_cutoffs).count() == 0
+def test_cutoffs_follow_the_group(spark):
+    """Two languages, one where symbols are usual and one where they aren't, a small
+    source in either, and texts with five times the usual symbols."""
+    n = 24_000
+    k = F.when(F.col("id") % 2000 == 7, 30).when(F.col("lang") == "code", 4 + F.col("id") % 3).otherwise(0)
+    words = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda j: F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("x"), j.cast("string"), F.when(j <= F.col("k"), "#").otherwise("")))
+    many = spark.range(2 * n).withColumn("lang", F.when(F.col("id") < n, "code").otherwise("prose")).withColumn("k", k).select(
+        F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"), "lang", F.when(F.col("id") % n < 20, "small").otherwise("large").alias("source")).cache()
+    measured = rules.measures(many).select("*", rules.base_failed().alias("base_failed"), *rules._values())
+    high = {(r.lang, r.source): r.symbols_ppm_high for r in rules.cutoffs(measured).collect()}
+    assert high["code", "large"] > 1.5 * high["prose", "large"] and all(v > 0 for v in high.values())
+    gone = {r.doc_id for r in rules.judge(many).where("not kept").collect()}
+    odd = {i for i in range(2 * n) if i % 2000 == 7}
+    assert odd - {7, n + 7} <= gone  # the small sources have one each, among twenty texts
+    assert len(gone - odd) < 0.03 * 2 * n  # usual texts beyond their group's 99th percentile at most
+    assert rules.judge(many.limit(0)).count() == 0
 
 
 def test_mix(spark, docs, none):
