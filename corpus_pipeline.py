@@ -18,7 +18,8 @@ from biasframe.sources.tables import table
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: texts it scores below 0.7 go."""
     model = quality_model.train(docs, table(spark, sf_dir, "labels"))
-    return quality_model.score(docs, model, 0.7).where("predicted = 1").select(*docs.columns)
+    names = ("_quality_score", "_quality_keeps")  # columns of the documents keep their names and values
+    return quality_model.score(docs, model, 0.7, outputs=names).where("_quality_keeps = 1").select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality_classifier", classify), ("near_duplicates", deduplicate), ("secret_scan", remove_secrets),
           ("source_mixing", mix), ("bpe", tokenize)]
 
-#: Trained scores, hash sketches and random rounding have no SQL form; the tests compare with brute force.
+#: Trained scores, hash sketches and random rounding have no SQL form; a test compares each stage with plain Python.
 ORACLE_SQL = None
 
 
