@@ -40,6 +40,9 @@ from biasframe.llm.common import written
 BANDS, ROWS, BITS = 33, 5, 8
 CUT_SIGMAS = 6
 CHUNK = 256
+#: Long words of a packed signature, and the bytes in them that stand for no minimum.
+WORDS = -(-BANDS * ROWS // 8)
+PAD = WORDS * 8 - BANDS * ROWS
 _U = np.uint64
 _ODD = np.random.RandomState(8).randint(1, 2**63, size=(2, BANDS * ROWS), dtype=np.int64).astype(_U) | _U(1)
 
@@ -97,14 +100,14 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                         key = mixed(key * _U(31) + m[r::ROWS])
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     bands.append(key.view(np.int64))
-                    packed.append(mixed(m).astype(np.uint8).tobytes())
+                    packed.append(np.frombuffer(mixed(m).astype(np.uint8).tobytes() + bytes(PAD), np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
+                     pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "digest", "bands", "signature"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary")
+        run, "doc_id long, n_shingles long, digest binary, bands array<long>, signature array<long>")
 
 
 def least_matches(threshold: float) -> int:
@@ -114,6 +117,19 @@ def least_matches(threshold: float) -> int:
     return max(0, int(np.floor(k * p - CUT_SIGMAS * np.sqrt(k * p * (1 - p)))))
 
 
+def agreeing(a: Column, b: Column) -> Column:
+    """The number of equal low bytes of two packed signatures: their words are
+    XORed, the bits of every byte folded onto its lowest, and these counted."""
+
+    def unequal(x: Column) -> Column:
+        for k in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + unequal(x))
+    return F.lit(BANDS * ROWS) - differ
+
+
 def groups(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, group: the least id reachable over ``links`` (a, b). Each round takes
     the least label among neighbours, then the label's own label, so labels
@@ -219,12 +235,12 @@ def _links_between(least: int, percent: int):
                 x, y = unit["left"], unit["right"]
                 ids, number = np.array([m["id"] for m in y]), {}
                 group = np.array([number.setdefault(m["group"], len(number)) for m in y])
-                signs = np.frombuffer(b"".join(m["signature"] for m in y), np.uint8).reshape(len(y), -1)
+                signs = np.stack([np.asarray(m["signature"], np.int64) for m in y]).view(np.uint8)
                 sets = [np.frombuffer(m["full"], _U) for m in y]
                 size = np.array([len(s) for s in sets])
                 for m in x:
                     own = number.setdefault(m["group"], len(number))
-                    agree = np.count_nonzero(signs == np.frombuffer(m["signature"], np.uint8), axis=1) >= least
+                    agree = np.count_nonzero(signs == np.asarray(m["signature"], np.int64).view(np.uint8), axis=1) - PAD >= least
                     full = np.frombuffer(m["full"], _U)
                     for g in np.unique(group[agree & (group != own)]):
                         at = np.flatnonzero(agree & (group == g))
@@ -268,8 +284,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # every bucket meets its least member: one pair per member, whatever its size
     star = bucketed.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(signature.withColumnsRenamed({"id": "a", "signature": "sa"}), "a").join(signature.withColumnsRenamed({"id": "b", "signature": "sb"}), "b")
-    agree = F.aggregate(F.sequence(F.lit(1), F.lit(BANDS * ROWS)), F.lit(0),
-                        lambda n, i: n + (F.col("sa").substr(i, F.lit(1)) == F.col("sb").substr(i, F.lit(1))).cast("int"))
+    agree = agreeing(F.col("sa"), F.col("sb"))
     star = written(star.select("a", "b", agree.alias("agree"), (agree >= least).alias("near")), "star_pairs")
     tested = star.where("near").select("a", "b")
     # families: what may still be linked. Members near their pivot belong to it;
