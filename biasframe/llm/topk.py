@@ -151,8 +151,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
                     part = asked[at:at + QUERY_ROWS]
                     qids = np.array([a["vec_id"] for a in part], np.int64)
                     q = np.array([np.asarray(a["q"], np.int64) for a in part], np.int64)
-                    for qid, ids, scores in search_block(unit, qids, q, k):
-                        yield pd.DataFrame({"query_id": qid, "vec_id": ids, "score": scores})
+                    found = list(search_block(unit, qids, q, k))  # at most k rows for each query of the chunk, sent on together
+                    yield pd.DataFrame({"query_id": np.repeat([i for i, _, _ in found], [len(ids) for _, ids, _ in found]).astype(np.int64),
+                                        "vec_id": np.concatenate([ids for _, ids, _ in found]), "score": np.concatenate([x for _, _, x in found])})
 
     found = units.mapInPandas(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
