@@ -38,14 +38,13 @@ def describe(df: DataFrame, cols: Sequence[str], digits: int = 9) -> DataFrame:
     for i, c in enumerate(cols):
         v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
         aggregates += [F.count(v).alias(f"count_{i}"), F.avg(v).alias(f"mean_{i}"), F.stddev_samp(v).alias(f"std_{i}"), F.min(v).alias(f"min_{i}"), F.max(v).alias(f"max_{i}")]
-    found, base = quantiles(narrow, cols, [0.25, 0.5, 0.75]), narrow.agg(*aggregates)
-    spark = df.sparkSession
-    quartiles = spark.createDataFrame([(c, *found[c].values()) for c in cols], "column string, q25 double, q50 double, q75 double")
-    rows = base.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{n}_{i}").alias(n) for n in ("count", "mean", "std", "min", "max")])
-                                           for i, c in enumerate(cols)])).alias("r")).select("r.*").where("count > 0")
-    return rows.join(F.broadcast(quartiles), "column").select(
-        "column", "count", F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"), "min", "max",
-        *[F.round(q, digits).alias(q) for q in ("q25", "q50", "q75")])
+    base = narrow.agg(*aggregates).first()  # one row, five numbers a column
+    known = {c: (base[f"count_{i}"], base[f"min_{i}"], base[f"max_{i}"]) for i, c in enumerate(cols)}
+    found = quantiles(narrow, cols, [0.25, 0.5, 0.75], known)
+    rows = [(c, *[base[f"{n}_{i}"] for n in ("count", "mean", "std", "min", "max")], *found[c].values()) for i, c in enumerate(cols) if base[f"count_{i}"]]
+    made = df.sparkSession.createDataFrame(rows, "column string, count long, mean double, std double, min double, max double, q25 double, q50 double, q75 double")
+    return made.select("column", "count", F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"), "min", "max",
+                       *[F.round(q, digits).alias(q) for q in ("q25", "q50", "q75")])
 
 
 def group_means(df: DataFrame, key: str, cols: Sequence[str], digits: int = 9) -> DataFrame:

@@ -68,7 +68,7 @@ def _scan(df: DataFrame, values: Mapping[str, Column], intervals: Sequence[_Inte
     for i, n in enumerate(intervals):
         v = values[n.column].cast(kind)
         hits.append(F.when((v >= F.lit(n.lo)) & (v <= F.lit(n.hi)), F.struct(F.lit(i).alias("i"), key(v, n).alias("k"), v.alias("v"))))
-    rows = df.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).select("h.*")
+    rows = df.select(F.explode(F.array(*hits)).alias("h")).where(F.col("h").isNotNull()).select("h.*")
     out: dict = {i: [] for i in range(len(intervals))}
     for r in rows.groupBy("i", "k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
         out[r.i].append((r.lo, r.hi, r.n))
@@ -87,21 +87,24 @@ def _narrowed(n: _Interval, parts: list[tuple]) -> list[_Interval]:
 
 
 def select_ranks(df: DataFrame, values: Mapping[str, Column], ranks: Callable[[dict[str, int]], Mapping[str, Sequence[int]]],
-                 whole: bool = False) -> dict[str, dict[int, Found]]:
+                 whole: bool = False, known: Mapping[str, tuple] | None = None) -> dict[str, dict[int, Found]]:
     """For each column the values at some 0-based ranks among its values that are
     neither NULL nor NaN. ``ranks`` maps the columns' numbers of such values to
-    the ranks; those out of range are left out. ``whole``: the columns hold longs."""
+    the ranks; those out of range are left out. ``whole``: the columns hold longs.
+    ``known``: (number of values or None, least, greatest) of each column, if they are known
+    or bounded, which saves a scan."""
     kind = "long" if whole else "double"
 
     def clean(v: Column) -> Column:
         return v.cast(kind) if whole else F.nanvl(v.cast(kind), F.lit(None).cast(kind))
 
-    first = df.agg(*[f(clean(v)).alias(f"{i}_{name}") for i, v in enumerate(values.values()) for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    if known is None:
+        first = df.agg(*[f(clean(v)).alias(f"{i}_{name}") for i, v in enumerate(values.values()) for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+        known = {c: (first[f"{i}_n"], first[f"{i}_lo"], first[f"{i}_hi"]) for i, c in enumerate(values)}
     names = list(values)
-    counts = {c: first[f"{i}_n"] for i, c in enumerate(names)}
-    wanted = ranks(counts)
-    open_ = [_Interval(c, first[f"{i}_lo"], first[f"{i}_hi"], 0, counts[c], own)
-             for i, c in enumerate(names) if (own := sorted({r for r in wanted.get(c, ()) if 0 <= r < counts[c]}))]
+    wanted = ranks({c: n for c, (n, _, _) in known.items()})
+    open_ = [_Interval(c, lo, hi, 0, LISTED + 1 if n is None else n, own) for c, (n, lo, hi) in known.items()
+             if (own := sorted({r for r in wanted.get(c, ()) if r >= 0 and (n is None or r < n)}))]
     done: list[_Interval] = []
     cleaned = {c: clean(v) for c, v in values.items()}
     while True:
@@ -120,16 +123,16 @@ def select_ranks(df: DataFrame, values: Mapping[str, Column], ranks: Callable[[d
     return out
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, dict[float, float | None]]:
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], known: Mapping[str, tuple] | None = None) -> dict[str, dict[float, float | None]]:
     """Exact quantiles with linear interpolation (as in pandas), None for columns
-    without values."""
+    without values. ``known`` as in ``select_ranks``, with the numbers of values."""
     seen: dict[str, int] = {}
 
     def ranks(counts: dict[str, int]) -> dict[str, list[int]]:
         seen.update(counts)
         return {c: [r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))] for c, n in counts.items() if n}
 
-    found = select_ranks(df, {c: F.col(c) for c in cols}, ranks)
+    found = select_ranks(df, {c: F.col(c) for c in cols}, ranks, known=known)
     out: dict[str, dict[float, float | None]] = {}
     for c in cols:
         out[c] = {}
@@ -143,14 +146,14 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dic
     return out
 
 
-def smallest(df: DataFrame, key: Column, n: int, tie: str) -> DataFrame:
-    """The ``n`` rows with the smallest ``key`` (a long, never NULL), ties by the
+def smallest(df: DataFrame, key: Column, n: int, tie: str, greatest: int = 2**32 - 1) -> DataFrame:
+    """The ``n`` rows with the smallest ``key`` (from 0 to ``greatest``, never NULL), ties by the
     column ``tie`` and then arbitrary: exactly ``n`` rows, or all if fewer. Only
     rows whose key equals the nth are ordered (with a hash of 32 bits as key, about
     one in four billion)."""
     if n <= 0:
         return df.limit(0)
-    at = select_ranks(df, {"key": key}, lambda counts: {"key": [n - 1]}, whole=True)["key"].get(n - 1)
+    at = select_ranks(df, {"key": key}, lambda counts: {"key": [n - 1]}, True, {"key": (None, 0, greatest)})["key"].get(n - 1)
     if at is None:
         return df
     if at.below + at.equal == n:
