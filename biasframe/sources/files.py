@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from biasframe.schema import SUBMISSION_SCHEMA
-from biasframe.sources.splits import csv_records, json_records, pieces
+from biasframe.sources.splits import AT_ONCE, csv_records, json_records, pieces
 
 
 def _typed(records: DataFrame, schema: T.StructType) -> DataFrame:
@@ -75,10 +75,13 @@ def write_json_arrays(df: DataFrame, path: str, mode: str = "overwrite") -> None
     def enclose(batches):
         opened, held = False, None
         for b in batches:
-            for text in b.column(0).to_pylist():
-                if held is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([held + ","])], names=["value"])
-                held, opened = ("" if opened else "[") + text, True
+            for lo in range(0, b.num_rows, AT_ONCE):
+                lines = []
+                for text in b.column(0).slice(lo, AT_ONCE).to_pylist():
+                    if held is not None:
+                        lines.append(held + ",")
+                    held, opened = ("" if opened else "[") + text, True
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
         yield pa.RecordBatch.from_arrays([pa.array([held + "]" if opened else "[]"])], names=["value"])
 
     rows.mapInArrow(enclose, "value string").write.mode(mode).text(path)

@@ -37,8 +37,8 @@ from biasframe.session import checkpoint_dir
 
 #: Splits whose starts are sent to every task (some 100 bytes each); beyond, they are joined.
 MOST_SENT = 100_000
-#: Bytes of records that leave a task in one batch.
-BATCH_BYTES = 4 << 20
+#: Bytes of records that leave a task in one batch, and pieces that become Python values at once.
+BATCH_BYTES, AT_ONCE = 4 << 20, 128
 WHOLE, HEAD, TAIL, MIDDLE = 0, 1, 2, 3
 
 
@@ -140,14 +140,16 @@ def pieces(spark: SparkSession, path: str | list[str], separator: str) -> DataFr
 
 def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[bytes]]]:
     """((file, start, further columns), pieces) for stretches of one split each."""
-    for b in batches:
-        columns = [b.column(i) for i in range(b.num_columns)]
-        keys, raw = [c.to_pylist() for c in columns[:-1]], columns[-1].to_pylist()
-        at = 0
-        for k in range(1, b.num_rows + 1):
-            if k == b.num_rows or keys[1][k] != keys[1][at] or keys[0][k] != keys[0][at]:
-                yield tuple(c[at] for c in keys), raw[at:k]
-                at = k
+    for batch in batches:
+        for lo in range(0, batch.num_rows, AT_ONCE):
+            b = batch.slice(lo, AT_ONCE)
+            columns = [b.column(i) for i in range(b.num_columns)]
+            keys, raw = [c.to_pylist() for c in columns[:-1]], columns[-1].to_pylist()
+            at = 0
+            for k in range(1, b.num_rows + 1):
+                if k == b.num_rows or keys[1][k] != keys[1][at] or keys[0][k] != keys[0][at]:
+                    yield tuple(c[at] for c in keys), raw[at:k]
+                    at = k
 
 
 def split_starts(lines: DataFrame, grammar) -> DataFrame:
@@ -260,8 +262,10 @@ def records(spark: SparkSession, path: str | list[str], grammar, finish: Callabl
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            value = finish([separator.join(t) for t in b.column(3).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(value, value_type)], names=["file", "start", "seq", "value"])
+            for lo in range(0, b.num_rows, AT_ONCE):
+                some = b.slice(lo, AT_ONCE)
+                value = finish([separator.join(t) for t in some.column(3).to_pylist()])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(value, value_type)], names=["file", "start", "seq", "value"])
 
     ends = joined.mapInArrow(join, T.StructType([made["file"], made["start"], made["seq"], made["value"]]))
     return every.where(F.col("kind") == WHOLE).select("file", "start", "seq", "value").unionByName(ends).where(F.col("value").isNotNull())

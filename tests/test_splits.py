@@ -153,3 +153,12 @@ def test_steps_compose():
         mode, change = array.step(piece, mode)
         depth += change
     assert (mode, depth) == (0, 1)
+
+
+def test_batches_become_python_values_a_few_rows_at_a_time(spark):
+    import pyarrow as pa
+    from biasframe.sources import splits
+    b = pa.RecordBatch.from_arrays([pa.array(["f"] * 500), pa.array([0] * 300 + [9] * 200, pa.int64()), pa.array([b"%d" % i for i in range(500)])], names=["file", "start", "raw"])
+    got = list(splits._by_split(iter([b])))
+    assert max(len(raw) for _, raw in got) <= splits.AT_ONCE
+    assert [(k[1], r) for k, raw in got for r in raw] == [(0 if i < 300 else 9, b"%d" % i) for i in range(500)]
