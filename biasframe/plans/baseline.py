@@ -21,8 +21,9 @@ from biasframe.operators import embed as G
 from biasframe.operators import metrics as M
 from biasframe.operators import sample as H
 from biasframe.operators import vocab as V
+from biasframe.operators.gather import mean_parts
 from biasframe.operators.models import positive_probability
-from biasframe.operators.ordering import materialize
+from biasframe.operators.ordering import materialize, stored
 from biasframe.schema import SCORED_IDENTITIES
 from biasframe.sources.comments import comments
 from biasframe.sources.tables import table
@@ -36,10 +37,8 @@ def document_vectors(seqs: DataFrame, vectors: DataFrame, dim: int, ids: str = "
     """(id, features): mean word vector of each sequence. Padding is skipped;
     vocabulary words without a vector count with the zero row of the matrix
     (as in the reference's embedding matrix); no ids left -> zero vector."""
-    ex = seqs.select("id", F.explode(ids).alias("word_index")).where(F.col("word_index") > 0)
-    hits = ex.join(vectors.select("word_index", array_to_vector(F.col("vector").cast("array<double>")).alias("v")),
-                   "word_index")
-    means = hits.groupBy("id").agg(Summarizer.mean(F.col("v")).alias("features"))
+    means = mean_parts(seqs.select("id", F.filter(ids, lambda i: i > 0).alias(ids)), ids, vectors, dim).groupBy("id").agg(
+        Summarizer.mean(array_to_vector("_mean"), F.col("_n")).alias("features"))
     zero = array_to_vector(F.array_repeat(F.lit(0.0), dim))
     return (seqs.select("id").join(means, "id", "left")
                 .select("id", F.coalesce(F.col("features"), zero).alias("features")))
@@ -49,17 +48,18 @@ def baseline_workflow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     """Returns (bias table, final-metric row) of the validation split."""
     rows = comments(spark, sf_dir, with_time=False).where(F.col("target").isNotNull())
     rows = rows.select("id", F.col("comment_text").alias("text"), "target", "score", *SCORED_IDENTITIES)
+    rows = stored(rows)  # joined once, read by the vocabulary, the encoding and the fit
     is_valid = H.split_flag(VALIDATION_SHARE)
     train = rows.where(~is_valid)
     vocab = V.fit_vocabulary(V.corpus([train]), V.DEFAULT_FILTERS)
     seqs = V.encode(rows, vocab, num_words=MAX_NUM_WORDS)
-    seqs = seqs.select("id", V.pad_pre("ids", MAX_SEQUENCE_LENGTH).alias("padded"))
+    seqs = stored(seqs.select("id", V.pad_pre("ids", MAX_SEQUENCE_LENGTH).alias("padded")))
     emb = table(spark, sf_dir, "embeddings")
     dim = len(emb.select("embedding").first()[0])  # one row: the vector width
     matrix = G.embedding_matrix(vocab.where(F.col("word_index") < MAX_NUM_WORDS),
                                 G.vectors_by_rank(emb, vocab), dim)
     feats = document_vectors(seqs, matrix, dim)
-    data = materialize(rows.join(feats, "id").withColumn("label", at_least("target", 0.5).cast("double"))
+    data = materialize(rows.drop("text").join(feats, "id").withColumn("label", at_least("target", 0.5).cast("double"))
                        .withColumn("is_valid", is_valid))
     model = LogisticRegression(featuresCol="features", labelCol="label", maxIter=20).fit(data.where(~F.col("is_valid")))
     scored = model.transform(data.where(F.col("is_valid"))).withColumn("prediction_score", positive_probability())
